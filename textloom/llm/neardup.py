@@ -37,12 +37,12 @@ _HASH = np.uint64((1 << HASH_BITS) - 1)
 
 @dataclass(frozen=True)
 class NearDup:
-    """Parameters: n-gram length, similarity, bits of the rarity sketch and of the bitmap, hot-token block size."""
+    """Parameters: n-gram length, similarity, bits of the rarity sketch, bitmap bits per n-gram, hot-token block size."""
 
     words: int = 5
     threshold: float = 0.8
     sketch_bits: int = 21
-    bitmap_bits: int = 512
+    bits_per_gram: int = 3
     hot: int = 20_000
 
 
@@ -86,7 +86,7 @@ def near_duplicates(texts: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame,
     """
     spark = texts.sparkSession
     n, t, parts = p.words, p.threshold, width(texts.sparkSession)
-    bits, bitmap_bits, hot = p.sketch_bits, p.bitmap_bits, p.hot
+    bits, per_gram, hot = p.sketch_bits, p.bits_per_gram, p.hot
 
     def grams(batch: pa.RecordBatch) -> np.ndarray:
         out = [_sets(b["text"], n)[1] for b in blocks(batch, "text")]
@@ -98,7 +98,7 @@ def near_duplicates(texts: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame,
         table, sent = rare.value, set()
         for whole in batches:
             for batch in blocks(whole, "text"):
-                out = _postings(batch["text"], table, sent, n, t, parts, bitmap_bits, hot)
+                out = _postings(batch["text"], table, sent, n, t, parts, per_gram, hot)
                 if out is not None:
                     yield out
 
@@ -142,7 +142,7 @@ def near_duplicates(texts: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame,
     return links, known.select("id", F.col("key").alias("set")).distinct(), known_path
 
 
-def _postings(column: pa.Array, table: np.ndarray, sent: set, n: int, t: float, parts: int, bitmap_bits: int, hot: int) -> pa.RecordBatch | None:
+def _postings(column: pa.Array, table: np.ndarray, sent: set, n: int, t: float, parts: int, per_gram: int, hot: int) -> pa.RecordBatch | None:
     doc, gram = _sets(column, n)
     keys = _set_keys(doc, gram, len(column))
     fresh = np.zeros(len(column), bool)
@@ -155,9 +155,11 @@ def _postings(column: pa.Array, table: np.ndarray, sent: set, n: int, t: float,
     if not len(doc):
         return None
     size = np.bincount(doc, minlength=len(column))
-    # parity of the n-grams in each cell of the bitmap
-    cells = np.bincount(doc * bitmap_bits + (gram % np.uint64(bitmap_bits)).astype(np.int64), minlength=len(column) * bitmap_bits)
-    bitmap = np.packbits((cells & 1).astype(bool).reshape(len(column), bitmap_bits), axis=1)
+    # parity of the n-grams in each cell of the bitmap, whose width follows the set's size
+    bits = _width(size, per_gram)
+    first = np.cumsum(bits) - bits
+    cells = np.bincount(first[doc] + (gram & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum()))
+    bitmap = np.packbits((cells & 1).astype(bool))
     rarity = table[(gram & np.uint64(len(table) - 1)).astype(np.int64)]
     order = np.sort((doc.astype(np.uint64) << np.uint64(HASH_BITS + 8)) | (rarity.astype(np.uint64) << np.uint64(HASH_BITS)) | gram)
     doc = (order >> np.uint64(HASH_BITS + 8)).astype(np.int64)
@@ -188,11 +190,52 @@ def _postings(column: pa.Array, table: np.ndarray, sent: set, n: int, t: float,
     count = np.diff(np.append(at, len(group)))
     who = doc[at]
     return pa.RecordBatch.from_arrays(
-        [pa.array(part[at].astype(np.int32)), pa.array(keys[who].view(np.int64)), pa.array(size[who].astype(np.int32)), packed(bitmap[who], np.ones(len(who), np.int64)), packed(token, count), packed(place.astype(np.uint32), count)],
+        [pa.array(part[at].astype(np.int32)), pa.array(keys[who].view(np.int64)), pa.array(size[who].astype(np.int32)), packed(_taken(bitmap, first[who] // 8, bits[who] // 8), bits[who] // 8), packed(token, count), packed(place.astype(np.uint32), count)],
         ["part", "key", "n", "bitmap", "tokens", "places"],
     )
 
 
+def _width(size: np.ndarray, per_gram: int) -> np.ndarray:
+    """Bits of the bitmaps of sets of these sizes: a power of two, 128 to 2**17."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(per_gram * size, 1))), 7, 17).astype(np.int64)
+
+
+def _taken(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches of ``data``, one after another."""
+    return data[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
+class _Bitmaps:
+    """Bitmaps of several widths; two are compared at the smaller width, the wider one folded."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw, sizes = unpacked(column, np.uint8)
+        first = np.cumsum(sizes) - sizes
+        self.width = sizes
+        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(sizes).tolist():
+            where = np.full(len(sizes), -1, np.int64)
+            rows: list[np.ndarray] = []
+            n = 0
+            for own in np.unique(sizes[sizes >= w]).tolist():
+                who = np.flatnonzero(sizes == own)
+                bits = _taken(raw, first[who], sizes[who]).reshape(len(who), own // w, w)
+                rows.append(np.bitwise_xor.reduce(bits, axis=1))
+                where[who] = n + np.arange(len(who))
+                n += len(who)
+            self.level[w] = (where, np.ascontiguousarray(np.concatenate(rows)).view(np.uint64))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many cells differ: never more than the n-grams that only one of the sets has."""
+        out = np.zeros(len(a), np.int32)
+        w = np.minimum(self.width[a], self.width[b])
+        for level in np.unique(w).tolist():
+            at = np.flatnonzero(w == level)
+            where, bits = self.level[level]
+            out[at] = np.bitwise_count(bits[where[a[at]]] ^ bits[where[b[at]]]).sum(axis=1, dtype=np.int32)
+        return out
+
+
 def _candidates(rows: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
     """Pairs of one token partition that pass the length, positional and suffix filters, once each."""
     rows = rows.combine_chunks()
@@ -203,7 +246,7 @@ def _candidates(rows: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
     one = lambda c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c]
     flat = lambda c: (x.chunk(0) if isinstance(x := one(c), pa.ChunkedArray) else x)
     key, size = np.asarray(flat("key")).astype(np.int64), np.asarray(flat("n")).astype(np.int64)
-    bitmap = unpacked(flat("bitmap"), np.uint64)[0].reshape(len(key), -1)
+    bitmaps = _Bitmaps(flat("bitmap"))
     token, counts = unpacked(flat("tokens"), np.uint32)
     place = unpacked(flat("places"), np.uint32)[0].astype(np.int64)
     doc = np.repeat(np.arange(len(key)), counts)
@@ -226,8 +269,7 @@ def _candidates(rows: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
             ok = (length[i] >= t * length[j] - 1e-6) & (1 + np.minimum(left[i], left[j]) >= need)
             i, j, total, need = i[ok], j[ok], total[ok], need[ok]
             a, b = doc[i], doc[j]
-            apart = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1, dtype=np.int32)
-            ok = total - apart >= 2 * need
+            ok = total - bitmaps.apart(a, b) >= 2 * need
             a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
             waiting.append(np.minimum(a, b) << 32 | np.maximum(a, b))
         if sum(map(len, waiting)) > 1 << 21:
