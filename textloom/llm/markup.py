@@ -194,7 +194,7 @@ def clean(text: str, kinds: set[str]) -> str:
         text = re.sub(r"(?i)</?code\b[^<>]*>", "`", text)
         text = re.sub(r"(?i)\s*<li\b[^<>]*>\s*", "\n- ", text)
         text = re.sub(r"(?i)</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", text)
-        text = re.sub(r"(?i)<br\s*/?>|</(?:p|div|tr|table|section|text|quoted-block|ul|ol|li)>", "\n", text)
+        text = re.sub(r"(?i)<br\s*/?>|<p(?:\s[^<>]*)?>|</(?:p|div|tr|table|section|text|quoted-block|ul|ol)>", "\n", text)
         text = _TAG.sub("", text)
         text = html.unescape(text)
     if "wiki" in kinds:
