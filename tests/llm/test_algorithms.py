@@ -116,6 +116,27 @@ def test_similarity_groups(spark):
     assert clusters.similarity_groups(_vectors(spark, rows).limit(0), "section_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 511, 1000, 5200])
+def test_links_of_a_cell_above_the_cap(n):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(9, 64))
+    x = centres[rng.integers(0, 9, n)] + 0.5 * rng.normal(size=(n, 64))
+    x[: n // 10] = rng.normal(size=(n // 10, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    s = x @ x.T >= 0.8
+    want = np.full(n, -1)
+    for i in range(n):
+        todo = [i] if want[i] < 0 else []
+        while todo:
+            new = np.flatnonzero(s[todo].any(axis=0) & (want < 0))
+            want[todo] = i
+            want[new] = i
+            todo = new.tolist()
+    assert (np.bincount(want) > n // 50).sum() > 3
+    assert clusters._linked(x, 0.8, cap=4096 if n > 4096 else 256).tolist() == want.tolist()
+    assert clusters._linked(x, 0.8, cap=10**6).tolist() == want.tolist()
+
+
 def test_hashed_features(spark):
     df = spark.createDataFrame([(1, "tariff of the harbor"), (2, "tariff of the harbor"), (3, "quarry levy"), (4, "12"), (5, "")], "id long, text string")
     v = {r.id: np.frombuffer(r.vec, np.float32) for r in clusters.hashed_features(df).collect()}

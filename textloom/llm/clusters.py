@@ -10,8 +10,9 @@ Lloyd steps exchange one partial sum per centroid and task. k follows the row co
 
 Groups. Vectors of similarity >= threshold belong together, also through others. Each vector goes to
 the ``probes`` nearest centroids; a cell finds its exact links and sends only one row per vector, with
-the smallest id of its local group; groups that share a vector are joined by components. A cell above
-``cell_cap`` is cut again in the same way inside its task, so a hot cell costs no quadratic work.
+the smallest id of its local group; groups that share a vector are joined by components. A cell of any
+size is compared whole, in blocks; above ``cell_cap`` rows near a few leaders are joined first, so that
+only rows of different groups are compared.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .wordhash import LETTERS, buffers, mix, unique_pairs, words
 
 @dataclass(frozen=True)
 class KMeans:
-    """Rows wanted per centroid, bound of k, seeding rounds, Lloyd steps, probes of a vector, largest exact cell."""
+    """Rows wanted per centroid, bound of k, seeding rounds, Lloyd steps, probes of a vector, largest cell without leaders."""
 
     per_cell: int = 256
     max_k: int = 2048
@@ -207,48 +208,59 @@ def _probed(vectors: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame
     return vectors.mapInArrow(route, "cell int, rank int, similarity double, id long, vec binary")
 
 
-def _linked(x: np.ndarray, threshold: float, cap: int, probes: int = 3) -> np.ndarray:
-    """A label for each row: rows with a dot product >= threshold share it, also through others."""
+def _linked(x: np.ndarray, threshold: float, cap: int, leaders: int = 64) -> np.ndarray:
+    """A label for each row, the first row of its group: rows with a dot product >= threshold share it, also through others.
+
+    Every pair of rows that may still join two groups is compared, in blocks. Above ``cap`` rows, those near
+    one of a few leaders are joined first; what shares a label then needs no comparison.
+    """
     n = len(x)
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(pairs: Iterator[tuple[int, int]]) -> None:
-        for i, j in pairs:
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-
-    if n <= cap:
-        for i in range(0, n, 1024):
-            s = x[i: i + 1024] @ x[i:].T
-            a, b = np.nonzero(s >= threshold)
-            keep = a < b
-            a, b = a[keep] + i, b[keep] + i
-            # the first link of each row joins most; only links between different labels are left then
-            while len(a):
-                _, first = np.unique(b, return_index=True)
-                join(zip(a[first].tolist(), b[first].tolist()))
-                roots = np.array([find(v) for v in range(n)])
-                apart = roots[a] != roots[b]
-                a, b = a[apart], b[apart]
-        return np.array([find(v) for v in range(n)])
-    rng = np.random.default_rng(n)
-    c = x[rng.choice(n, max(2, 2 * n // cap), replace=False)]
-    top = np.concatenate([np.argpartition(-(x[i: i + 4096] @ c.T), min(probes, len(c)) - 1, axis=1)[:, :probes] for i in range(0, n, 4096)])
-    for cell in range(len(c)):
-        rows = np.flatnonzero((top == cell).any(axis=1))
-        if 1 < len(rows) < n:
-            label = _linked(x[rows], threshold, cap, probes)
-            join((int(rows[a]), int(rows[b])) for a, b in zip(label.tolist(), range(len(rows))) if a != b)
-        elif len(rows) == n:  # copies can't be cut
-            join((0, int(i)) for i in np.flatnonzero(x @ x[0] >= threshold))
-    return np.array([find(v) for v in range(n)])
+    label = np.arange(n)
+    if n > cap:
+        rest = label
+        for _ in range(leaders):
+            near = x[rest] @ x[rest[0]] >= threshold
+            near[0] = True
+            label[rest[near]] = rest[0]
+            rest = rest[~near]
+            if not len(rest):
+                break
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        """The groups of the labels a[i] and b[i] become one."""
+        into = np.arange(n)
+
+        def find(i: int) -> int:
+            while into[i] != i:
+                into[i] = into[into[i]]
+                i = into[i]
+            return i
+
+        for i, j in zip(a.tolist(), b.tolist()):
+            i, j = find(i), find(j)
+            into[max(i, j)] = min(i, j)
+        while (into[into] != into).any():
+            into = into[into]
+        label[:] = into[label]
+
+    # rows of one label stand together, so that whole pairs of blocks fall away
+    order = np.argsort(label, kind="stable")
+    for i in range(0, n, 1024):
+        rows = order[i: i + 1024]
+        for j in range(i, n, 4096):
+            cols = order[j: j + 4096]
+            if (label[rows] == label[rows[0]]).all() and (label[cols] == label[rows[0]]).all():
+                continue
+            hit = x[rows] @ x[cols].T >= threshold
+            while True:
+                # one link of each column at a time; links inside a group are done
+                hit &= label[rows][:, None] != label[cols]
+                first = hit.argmax(axis=0)
+                linked = hit[first, np.arange(len(cols))]
+                if not linked.any():
+                    break
+                join(label[rows[first[linked]]], label[cols[linked]])
+    return label
 
 
 def similarity_groups(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.8, least: int = 3, p: KMeans = KMeans()) -> DataFrame:
