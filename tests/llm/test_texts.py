@@ -90,6 +90,24 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), "doc", "body", items, "item_id", "item_text").count() == 0
 
 
+def test_leaks_beside_paraphrase_with_edited_edges_and_frame_words(spark):
+    frame = [f"frame{k}" for k in range(11)]
+    items = [[f"own{i}a{k}" for k in range(20)] + frame[:6] + [f"own{i}b{k}" for k in range(4)] + frame[6:] + [f"own{i}c{k}" for k in range(20)] for i in range(4)]
+    noise = lambda n, k: [f"noise{k}x{j}" for j in range(n)]
+    w = items[0]
+    paraphrased = w[:16] + [t if k % 5 in (1, 3, 4) else f"other{k}" for k, t in enumerate(w[16:36])]
+    two_own_edited = list(w[20:35])
+    two_own_edited[7] = two_own_edited[8] = "changed"
+    docs = [
+        paraphrased, ["changed"] + w[1:15], w[:14] + ["changed"], two_own_edited, [t if k % 5 else f"other{k}" for k, t in enumerate(w)], w[40:50],
+    ]
+    df = spark.createDataFrame([(i, " ".join([*noise(30, i), *d, *noise(30, i + 50)])) for i, d in enumerate(docs)], "doc long, body string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(df, "doc", "body", tests, "item_id", "item_text").collect()}
+    assert set(got) == {(k, 0) for k in range(4)}
+    assert got[0, 0].first_word == 30 and all(r.item_words >= 15 for r in got.values())
+
+
 def test_endings(spark):
     whole = [
         "The clerk shall report.", "He said, “It is due.”", "Is it due?", "It is due.\nEND", "It is due.\n■", "It is due.\nAnna Kovar\nSenior ferry counsel", "It is due.\nFiled under: ports, ferries, fees",

@@ -3,10 +3,11 @@
 The index is partitioned by document: each task turns its block of documents into postings (term,
 document, place), sorted by term, in memory - documents are whole, so no posting is ever shuffled. Of
 every window of ``span`` successive words of a test item, the ``probes`` rarest terms of the training
-text (those with the fewest postings to visit), and two of the items' common frame, are looked up;
-their lists, shifted by the word's place in the item, are intersected: postings of one document and
+text (those with the fewest postings to visit), words of the items' common frame last but two of them
+at least, are looked up; their lists, shifted by the word's place in the item, are intersected: postings of one document and
 item that agree on the shift, within ``slack``, mark a place. There a local alignment
-compares the whole item with the text and gives the exact phrase or proximity match.
+compares the whole item with the text, and every window of it is judged: a passage is ``least_span`` or more
+successive item words, first and last included, that agree but for a few, whatever surrounds them.
 
 Counts of terms cover all documents. Test items are a given, small set; they are searched in blocks of
 at most ``block`` words, and only a block and its probes are broadcast.
@@ -32,14 +33,13 @@ from .wordhash import buffers, words
 
 @dataclass(frozen=True)
 class Search:
-    """Words of a passage, probes of a window, shift tolerance, words of a window that must be near, and what an alignment needs."""
+    """Words of a passage, probes of a window, shift tolerance, words of a window that must be near, and what a passage needs."""
 
     span: int = 15
     probes: int = 5
     slack: int = 3
-    near: int = 10
+    near: int = 11  # no passage has fewer, whatever its length
     density: float = 0.84
-    rare: float = 0.6
     least_span: int = 15
     block: int = 200_000
 
@@ -52,56 +52,80 @@ def normalised(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item places, text places) of the matches of the best local alignment: +1 a match, -1 any edit."""
+def align(item: np.ndarray, text: np.ndarray, edit: int = 1, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(item places, text places) of the matches of the best local alignment: +1 a match, ``-edit`` any edit; none if it scores less than ``least``."""
     n, m = len(item), len(text)
     same = item[:, None] == text[None, :]
     score = np.zeros((n + 1, m + 1), np.int32)
-    drop = np.arange(m + 1)
+    drop = edit * np.arange(m + 1)
     for i in range(1, n + 1):
-        best = np.maximum(score[i - 1, :-1] + np.where(same[i - 1], 1, -1), score[i - 1, 1:] - 1)
+        best = np.maximum(score[i - 1, :-1] + np.where(same[i - 1], 1, -edit), score[i - 1, 1:] - edit)
         row = np.maximum(np.concatenate([[0], best]), 0)
-        # a gap along the row costs 1 a word: a running maximum of row + place
+        # a gap along the row costs ``edit`` a word: a running maximum of row + place
         score[i] = np.maximum.accumulate(row + drop) - drop
     i, j = np.unravel_index(int(score.argmax()), score.shape)
     a, b = [], []
+    if score[i, j] < least:
+        i = 0
     while i > 0 and j > 0 and score[i, j] > 0:
         if same[i - 1, j - 1] and score[i, j] == score[i - 1, j - 1] + 1:
             a.append(i - 1)
             b.append(j - 1)
             i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 1:
+        elif score[i, j] == score[i - 1, j] - edit:
             i -= 1
-        elif score[i, j] == score[i, j - 1] - 1:
+        elif score[i, j] == score[i, j - 1] - edit:
             j -= 1
         else:
             i, j = i - 1, j - 1
     return np.array(a[::-1], np.int64), np.array(b[::-1], np.int64)
 
 
-def judge(item: np.ndarray, common: np.ndarray, text: np.ndarray) -> tuple[int, int, float, float, int, int]:
-    """(words of the item spanned, matches, density, share of its rarer words matched, first and last text place)."""
-    a, b = align(item, text)
-    if not len(a):
-        return 0, 0, 0.0, 0.0, 0, 0
-    span = int(a[-1] - a[0]) + 1
-    rare = ~common[a[0]: a[-1] + 1]
-    hit = np.zeros(span, bool)
-    hit[a - a[0]] = True
-    share = float(hit[rare].mean()) if rare.any() else 1.0
-    return span, len(a), len(a) / max(span, int(b[-1] - b[0]) + 1), share, int(b[0]), int(b[-1])
-
-
-def _dense(item: np.ndarray, text: np.ndarray, low: int, high: int, span: int, near: int) -> bool:
-    """Whether ``near`` words of some ``span`` successive item words stand in the text at a shift of low..high."""
-    hit = np.zeros(len(item), bool)
-    for s in range(low, high + 1):
-        a, b = max(0, -s), min(len(item), len(text) - s)
-        if a < b:
-            hit[a:b] |= item[a:b] == text[a + s: b + s]
-    total = np.concatenate([[0], np.cumsum(hit)])
-    w = min(span, len(item))
-    return int((total[w:] - total[:-w]).max()) >= min(near, w)
+def judge(item: np.ndarray, text: np.ndarray, p: Search) -> tuple[int, int, int, int] | None:
+    """(words of the item spanned, matches, first and last text place) of a passage, or None."""
+    for edit in (1, 3):  # a dense passage may lie off the best alignment of a looser stretch
+        # two words changed, dropped and put in at the worst: no passage scores less
+        a, b = align(item, text, edit, p.least_span - 6 if edit == 1 else 1)
+        if not len(a):
+            return None
+        span = int(a[-1] - a[0]) + 1
+        if span >= p.least_span and len(a) / max(span, int(b[-1] - b[0]) + 1) >= p.density:
+            return span, len(a), int(b[0]), int(b[-1])
+        # the longest window in which one word in ten differs, rounded up; longer ones would hold a shorter such one
+        for w in range(min(len(item), 2 * p.least_span - 1), p.least_span - 1, -1):
+            start = np.arange(len(item) - w + 1)
+            low, high = np.searchsorted(a, start), np.searchsorted(a, start + w)
+            matched = high - low
+            extent = b[np.maximum(high - 1, 0)] - b[np.minimum(low, len(b) - 1)] + 1
+            matched[matched < np.maximum(w, extent) - -(-w // 10)] = 0
+            k = int(matched.argmax())
+            if matched[k]:
+                return w, int(matched[k]), int(b[low[k]]), int(b[high[k] - 1])
+    return None
+
+
+def _dense(item: np.ndarray, text: np.ndarray, low: int, high: int, p: Search) -> tuple[int, int] | None:
+    """Least and largest shift of low..high around which, within ``slack``, ``near`` words of ``span`` successive item words stand in the text."""
+    n, w, m = len(item), min(p.span, len(item)), high - low + 1
+    near = min(p.near, w)
+
+    def most(hit: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(hit), n + 1), np.int32)
+        hit.cumsum(axis=1, out=total[:, 1:])
+        return (total[:, w:] - total[:, :-w]).max(axis=1)
+
+    first = low - p.slack
+    stretch = np.zeros(m + 2 * p.slack + n - 1, text.dtype)
+    inside = text[max(0, first): max(0, first + len(stretch))]
+    stretch[max(0, -first): max(0, -first) + len(inside)] = inside
+    hit = stretch[np.arange(m + 2 * p.slack)[:, None] + np.arange(n)] == item
+    if most(hit.any(axis=0)[None])[0] < near:
+        return None
+    around = hit[:m].copy()
+    for k in range(1, 2 * p.slack + 1):
+        around |= hit[k: k + m]
+    good = np.flatnonzero(most(around) >= near)
+    return (low + int(good[0]), low + int(good[-1])) if len(good) else None
 
 
 class _Tests:
@@ -115,7 +139,6 @@ class _Tests:
     def probe(self, counts: np.ndarray, span: int, probes: int) -> None:
         """(term, item, place) of the probes, sorted by term."""
         rows: list[tuple[int, int, int]] = []
-        self.need = np.zeros(len(self.tokens), np.int64)
         # a term costs its postings times its places in the items: the length of the list to intersect
         cost = counts * np.bincount(np.searchsorted(self.terms, np.concatenate(self.tokens)), minlength=len(self.terms))
         for k, x in enumerate(self.tokens):
@@ -127,14 +150,12 @@ class _Tests:
                 w = w[np.argsort(c[w], kind="stable")]
                 own = w[~self.common[k][w]]
                 chosen.update(own[:probes].tolist())
-                chosen.update(w[self.common[k][w]][: max(2, 3 - len(own))].tolist())
+                chosen.update(w[self.common[k][w]][: max(2, probes - len(own))].tolist())
             rows += [(int(x[i]), k, i) for i in sorted(chosen)]
-            self.need[k] = min(2, sum(not self.common[k][i] for i in chosen))
         rows.sort()
         self.p_term = np.array([r[0] for r in rows], np.uint64)
         self.p_item = np.array([r[1] for r in rows], np.int64)
         self.p_place = np.array([r[2] for r in rows], np.int64)
-        self.p_own = np.array([not self.common[k][i] for _, k, i in rows], bool)
 
 
 def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, p: Search = Search()) -> DataFrame:
@@ -222,10 +243,10 @@ def _search_block(batch: pa.RecordBatch, x: _Tests, p: Search) -> list[tuple]:
     n = high[at] - low[at]
     post = np.repeat(at, n)
     probe = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    d, item, q, own = doc[post], x.p_item[probe], x.p_place[probe], x.p_own[probe]
+    d, item, q = doc[post], x.p_item[probe], x.p_place[probe]
     shift = place[post] - q
     order = np.lexsort((q, shift, item, d))
-    d, item, q, shift, own = d[order], item[order], q[order], shift[order], own[order]
+    d, item, q, shift = d[order], item[order], q[order], shift[order]
     if not len(d):
         return []
     pair = d * len(x.ids) + item
@@ -234,8 +255,8 @@ def _search_block(batch: pa.RecordBatch, x: _Tests, p: Search) -> list[tuple]:
     end = np.append(group[1:], len(d))
     rows: list[tuple] = []
     ids = batch["doc_id"].to_pylist()
-    # three words that agree on the shift, two of them words that few items use
-    keep = (end - group >= 3) & (np.add.reduceat(own.astype(np.int64), group) >= x.need[item[group]])
+    # three words that agree on the shift
+    keep = end - group >= 3
     for a, b in zip(group[keep].tolist(), end[keep].tolist()):
         places = np.unique(q[a:b])
         # three item places that agree on the shift within the reach of one window
@@ -244,10 +265,12 @@ def _search_block(batch: pa.RecordBatch, x: _Tests, p: Search) -> list[tuple]:
         i, k = int(d[a]), int(item[a])
         text = h[start[i]: start[i + 1]]
         tokens = x.tokens[k]
-        if not _dense(tokens, text, int(shift[a:b].min()) - p.slack, int(shift[a:b].max()) + p.slack, p.span, p.near):
+        band = _dense(tokens, text, int(shift[a:b].min()), int(shift[a:b].max()), p)
+        if not band:
             continue
-        lo, hi = max(0, int(shift[a:b].min()) - p.slack - 4), min(len(text), int(shift[a:b].max()) + len(tokens) + p.slack + 4)
-        span, matched, density, rare, first, last = judge(tokens, x.common[k], text[lo:hi])
-        if span >= p.least_span and density >= p.density and rare >= p.rare:
+        lo, hi = max(0, band[0] - p.slack - 4), min(len(text), band[1] + len(tokens) + p.slack + 4)
+        found = judge(tokens, text[lo:hi], p)
+        if found:
+            span, matched, first, last = found
             rows.append((ids[i], int(x.ids[k]), span, matched, lo + first, lo + last))
     return rows
