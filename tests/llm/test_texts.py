@@ -34,6 +34,22 @@ def test_markup_of_held_out_blocks(spark):
     assert markup.markup_kinds(df.limit(0), "id", "t").count() == 0
 
 
+def test_no_sign_without_candidate(spark):
+    blocks = [b for d in markup.DOCUMENTS for _, b in d] + ["! a !! b", "[http://a.b c d]", "|-", "|}", "{|", "| a || b", "|a|b", "~~a~~", "~~~", ">\u00a0q", "#\u2003a", "--- | ---", "a ''b''", "\\item a", "======", "__a b__"]
+    blocks = sorted({b for t in blocks for b in (t, t.strip(), "  " + t, "\t " + t, "\u00a0" + t, "\x1c" + t, t + "\r")})
+    n = len(markup._SIGNS)
+    seen = markup.features(blocks)[:, :n] > 0
+    # the signs of each block alone, also as a later line of a text
+    texts = [(i, p + t) for i, t in enumerate(blocks) if seen[i].any() for p in ("", "The clerk agrees.\n")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    assert seen.any(axis=0).all()
+    assert [r.t for r in df.where(~markup.candidate(F.col("t"))).collect()] == []
+    rows = ["[https://acts.example.org/list the list]", "  == Findings ==\nIt applies.", "! port !! fee"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, t string")
+    assert {(r.id, r.markup) for r in markup.markup_kinds(df, "id", "t").collect()} == {(0, "wiki"), (1, "wiki"), (2, "wiki")}
+    assert {r.id: r.text for r in markup.clean_texts(df, "id", "t").collect()} == {0: "the list", 1: "# Findings\nIt applies.", 2: "port | fee"}
+
+
 def test_cleaning_keeps_structure():
     assert markup.clean("<h2>Ports</h2><ul><li>a</li><li>b</li></ul><p>x &amp; y</p>", {"html"}) == "# Ports\n\n- a\n- b\n\nx & y"
     assert markup.clean("<tr><td>1</td><td>2</td></tr>", {"html"}) == "1 | 2"

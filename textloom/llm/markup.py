@@ -62,8 +62,10 @@ _NEEDS = {
 _LINK = re.compile(r"<a\b[^<>]*>([^<>]*)</a>|\[([^\[\]\n]*)\]\([^()\s]+\)|\[\[([^\[\]\n]*)\]\]|https?://\S+")
 FEATURES = (*_SIGNS, "words", "link_density", "words_before", "links_before", "words_after", "links_after")
 
+#: White space of Python's patterns but the line feed, for the JVM.
+_BLANK = r"[\t\x0B\f\r\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Some character without which no sign can occur.
-_CANDIDATE = r"[<&\\`|~]|\*\*|__|\[\[|\]\(|\{\{|\{\||''|(?m)^\s{0,3}#{1,6}\s|(?m)^={2,}|(?m)^>\s"
+_CANDIDATE = rf"[<&\\`|~]|\*\*|__|\[\[|\]\(|\{{\{{|''|!!|\[https?://|(?m)^{_BLANK}*(?:#|==)|(?m)^>{_BLANK}"
 
 
 def candidate(text: Column) -> Column:
