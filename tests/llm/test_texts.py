@@ -140,6 +140,15 @@ def test_endings(spark):
     assert truncation.truncated(df.limit(0), "doc", "source", "t").count() == 0
 
 
+def test_endings_of_long_and_padded_texts(spark):
+    long = "the ferry shall call at each port and " * 80
+    whole = ["It is due." + " " * 2500, "It is due." + "\n" * 4000, "It is due.\n" + " " * 2100 + "END" + "\n" * 2100, f"He said, “{long}it is due.”", "It is due.\nEND" + "\n" * 2500 + "Page 2 of 4\n"]
+    cut = [f"He said, “{long}it is due.", "It is du" + " " * 2500, long]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(whole)] + [(100 + i, "s", t) for i, t in enumerate(cut)], "doc long, source string, t string")
+    assert sorted(r.doc_id for r in truncation.truncated(df, "doc", "source", "t").collect()) == [100, 101, 102]
+    assert truncation.truncation_share(df, "source", "t").first().cut == 3
+
+
 def test_hidden_limits(spark):
     rng = random.Random(2)
     texts = ["x" * rng.randint(50, 400) for _ in range(400)] + ["é" * k + "y" * (200 - 2 * k) for k in range(60)]

@@ -17,6 +17,8 @@ a null source is a source of its own; columns other than the three named are ign
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 _W = r"[\p{L}\p{M}'’-]+"
@@ -43,25 +45,41 @@ _CLOSED = r"[.?!。！？]['\"”’»)\]]*$"
 _ABBREVIATION = r"(?:(?:^|[\s(“\"])(?:U\.S\.(?:C\.)?|[A-Z]\.|No\.|Sec\.|§|Pub\.|L\.|Mr\.|Mrs\.|Dr\.|v\.|art\.|Art\.|núm\.|p\.|pp\.)|\.\.\.|…|\[[^\]]*\]|\[?\(?(?:more|truncated|continued)\)?\]?\.*|(?:^|\n)\s*(?:Sec|SEC|Section|Art)\.? \d+\.)$"
 
 
+#: Characters at a trimmed text's end in which a closing block and the sentence's last signs are looked for.
+_TAIL = 2000
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(text, F.lit(_SPACE))
+
+
 def stripped(text: Column) -> Column:
-    """The text without white space and up to three closing blocks at its end."""
-    out = F.rtrim(text, F.lit(_SPACE))
-    for _ in range(3):
-        out = F.rtrim(F.regexp_replace(out, _BLOCK, ""), F.lit(_SPACE))
-    return out
+    """The text without white space and up to three closing blocks at its end, whatever white space parts them."""
+
+    def without(body: Column) -> Column:
+        head = F.substr(body, F.lit(1), F.greatest(F.char_length(body) - _TAIL, F.lit(0)))
+        return _trimmed(F.concat(head, F.regexp_replace(F.right(body, F.lit(_TAIL)), _BLOCK, "")))
+
+    # a line moved far to the right would leave its line feed out of the tail
+    near = F.regexp_replace(text, r"\n[ \t\r]{100,}", "\n")
+    return _once(_trimmed(near), lambda a: _once(without(a), lambda b: _once(without(b), without)))
 
 
 def stops_short(text: Column) -> Column:
     """Whether a text's last sentence is not closed; null and blank texts are not cut."""
 
     def open_end(body: Column) -> Column:
-        last = F.substring_index(body, "\n", -1)
+        last, end = F.substring_index(body, "\n", -1), F.right(body, F.lit(_TAIL))
         quote = (_times(text, "“") > _times(text, "”")) & (_times(last, "“") > _times(last, "”"))
-        return ~(body.rlike(_CLOSED) & ~body.rlike(_ABBREVIATION)) | quote
+        return ~(end.rlike(_CLOSED) & ~end.rlike(_ABBREVIATION)) | quote
 
-    # closing blocks and the last sentence's end; the rule looks at nothing before. One evaluation of what is left of them
-    body = F.array(stripped(F.right(text, F.lit(2000))))
-    return F.coalesce(text.rlike(r"[^\s ​﻿]") & F.transform(body, open_end)[0], F.lit(False))
+    # one evaluation of what is left of the closing blocks
+    return F.coalesce(text.rlike(r"[^\s ​﻿]") & _once(stripped(text), open_end), F.lit(False))
 
 
 def _times(text: Column, sign: str) -> Column:
