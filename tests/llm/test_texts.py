@@ -157,14 +157,34 @@ def test_hidden_limits(spark):
     assert ("utf8", 200) in found and ("chars", 200) not in found
 
 
-def test_lengths(spark):
+def test_lengths():
     import html
     import json
 
-    texts = ["a&b<c>\"d\"", "x\ny\r\nz", "é🙂\\\t", ""]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select(*[v.alias(k) for k, v in truncation.lengths(F.col("t")).items()]).collect()
-    for t, r in zip(texts, got):
-        assert (r.chars, r.utf8, r.utf16) == (len(t), len(t.encode()), len(t.encode("utf-16-le")) // 2)
-        assert r.entities == len(html.escape(t).replace("&quot;", "&quote")) and r.json == len(json.dumps(t, ensure_ascii=False))
-        assert r.crlf == len(t.replace("\r\n", "\n").replace("\n", "\r\n")) and r.lf == len(t.replace("\r\n", "\n"))
+    import pyarrow as pa
+
+    texts = ["a&b<c>\"d\"", "x\ny\r\nz", "é🙂\\\t", "", "a\r", "\nb", None]
+    got = truncation.measured_lengths(pa.array(texts))
+    for k, t in enumerate(t or "" for t in texts):
+        r = {m: int(v[k]) for m, v in got.items()}
+        assert (r["chars"], r["utf8"], r["utf16"]) == (len(t), len(t.encode()), len(t.encode("utf-16-le")) // 2)
+        assert r["entities"] == len(html.escape(t).replace("&quot;", "&quote")) and r["json"] == len(json.dumps(t, ensure_ascii=False))
+        assert r["crlf"] == len(t.replace("\r\n", "\n").replace("\n", "\r\n")) and r["lf"] == len(t.replace("\r\n", "\n"))
+
+
+def test_limits_decide_unsure_endings(spark):
+    rng = random.Random(3)
+    filler = lambda n: ("the ferry shall call at each port and " * 20)[:n]
+    ends = ["the fee is $1.", "the fee is owed to Harbor Inc.", "it is due.\n- ferry\n- port du", "it is due.\nAnna Kovar\nSenior ferry coun"]
+    at = [filler(300 - len(e)) + e for e in ends]
+    beside = [filler(290 - len(e)) + e for e in ends]
+    closed = [filler(300 - len(e)) + e for e in ("it is due.", "it is due.\nRef. 1-2", "it is due.\nEND")]
+    pile = [filler(300) for _ in range(40)] + [filler(n) + "." for n in rng.sample(range(20, 600), 60)]
+    rows = [*at, *beside, *closed, *pile]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "doc long, source string, t string")
+    got = {r.doc_id: r.at_limit for r in truncation.truncated(df, "doc", "source", "t").collect()}
+    assert {i for i in got if i < 11} == set(range(4)) and all(got[i] for i in range(4))
+    # without the pile nothing shows that the same texts are cut
+    few = df.where("doc < 11")
+    assert truncation.truncated(few, "doc", "source", "t").count() == 0
+    assert truncation.truncation_share(df, "source", "t").first().cut == 44

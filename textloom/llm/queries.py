@@ -17,7 +17,7 @@ from .markup import clean_texts, markup_kinds
 from .neardup import NearDup, near_duplicate_groups, near_duplicate_pairs
 from .pieces import pieces
 from .splits import query_groups, query_splits
-from .truncation import limits, truncated, truncation_share
+from .truncation import SPACE, limits, truncated, truncation_share
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,10 @@ def queries() -> dict[str, Query]:
     )}
 
 
+#: A blank text's characters, for SQL.
+_BLANK = "".join(f"\\x{{{ord(c):X}}}" for c in SPACE)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express on whole tables in reasonable time."""
     return {
@@ -144,4 +148,21 @@ def oracle_sql() -> dict[str, str]:
                 THEN 'forced' ELSE 'natural' END AS cut_kind
             FROM raw_bill_text WHERE length(content) > 2000
         """,
+        "p10_limits": rf"""
+            WITH t AS (SELECT source, text AS x FROM documents WHERE regexp_matches(text, '[^{_BLANK}]')),
+            m AS (
+                SELECT source, length(x) AS chars, strlen(x) AS utf8, length(x) + length(regexp_replace(x, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS utf16,
+                    length(x) + 4 * length(regexp_replace(x, '[^&]', '', 'g')) + 3 * length(regexp_replace(x, '[^<>]', '', 'g')) + 5 * length(regexp_replace(x, '[^"]', '', 'g')) AS entities,
+                    length(x) + length(regexp_replace(x, '[^"\\\n\r\t\x08\f]', '', 'g')) + 2 AS json,
+                    (length(x) - length(replace(x, chr(13) || chr(10), ''))) // 2 AS pairs, length(x) - length(replace(x, chr(10), '')) AS feeds FROM t),
+            e AS (
+                SELECT source, unnest([{{'m': 'chars', 'n': chars}}, {{'m': 'utf8', 'n': utf8}}, {{'m': 'utf16', 'n': utf16}}, {{'m': 'entities', 'n': entities}}, {{'m': 'json', 'n': json}},
+                    {{'m': 'crlf', 'n': chars + feeds - pairs}}, {{'m': 'lf', 'n': chars - pairs}}]) AS u FROM m),
+            c AS (SELECT source, u.m AS measure, CAST(u.n AS INTEGER) AS length, count(*) AS texts FROM e GROUP BY ALL),
+            p AS (
+                SELECT source, measure, length, texts, coalesce((SELECT sum(o.texts) FROM c o WHERE o.source IS NOT DISTINCT FROM c.source AND o.measure = c.measure
+                    AND abs(o.length - c.length) BETWEEN 1 AND 10), 0) / 20 AS expected FROM c WHERE texts >= 20),
+            w AS (SELECT *, max(texts) OVER (PARTITION BY source ORDER BY length RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS most FROM p WHERE texts >= 8 * greatest(expected, 0.5))
+            SELECT source, measure, length, texts, expected FROM w WHERE texts = most
+        """,
     }
