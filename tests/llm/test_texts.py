@@ -47,17 +47,38 @@ def test_no_sign_without_candidate(spark):
     rows = ["[https://acts.example.org/list the list]", "  == Findings ==\nIt applies.", "! port !! fee"]
     df = spark.createDataFrame(list(enumerate(rows)), "id long, t string")
     assert {(r.id, r.markup) for r in markup.markup_kinds(df, "id", "t").collect()} == {(0, "wiki"), (1, "wiki"), (2, "wiki")}
-    assert {r.id: r.text for r in markup.clean_texts(df, "id", "t").collect()} == {0: "the list", 1: "# Findings\nIt applies.", 2: "port | fee"}
+    assert {r.id: r.text for r in markup.clean_texts(df, "id", "t").collect()} == {0: "the list", 1: "## Findings\nIt applies.", 2: "port | fee"}
 
 
 def test_cleaning_keeps_structure():
-    assert markup.clean("<h2>Ports</h2><ul><li>a</li><li>b</li></ul><p>x &amp; y</p>", {"html"}) == "# Ports\n\n- a\n- b\n\nx & y"
+    assert markup.clean("<h2>Ports</h2><ul><li>a</li><li>b</li></ul><p>x &amp; y</p>", {"html"}) == "## Ports\n\n- a\n- b\n\nx & y"
     assert markup.clean("<tr><td>1</td><td>2</td></tr>", {"html"}) == "1 | 2"
-    assert markup.clean("## Ports\n**a** [b](u)\n```\nx = 1\n```", {"markdown"}) == "# Ports\na b\n```\nx = 1\n```"
-    assert markup.clean("== Ports ==\n[[a b|a]] '''c'''{{x|y}}\n{|\n! p !! q\n|-\n| 1 || 2\n|}", {"wiki"}) == "# Ports\na c\np | q\n1 | 2"
+    assert markup.clean("## Ports\n**a** [b](u)\n```\nx = 1\n```", {"markdown"}) == "## Ports\na b\n```\nx = 1\n```"
+    assert markup.clean("== Ports ==\n[[a b|a]] '''c'''{{x|y}}\n{|\n! p !! q\n|-\n| 1 || 2\n|}", {"wiki"}) == "## Ports\na c\np | q\n1 | 2"
     assert markup.clean("\\section{P}\n\\begin{itemize}\n\\item a\n\\end{itemize}\n\\emph{b} $\\frac{1}{2}$", {"latex"}) == "# P\n\n- a\n\nb $\\frac{1}{2}$"
 
 
+def test_cleaning_of_nested_markup():
+    assert markup.clean("a{{t|{{u}}|v}} b {{c", {"wiki"}) == "a b {{c"
+    assert markup.clean("\\textbf{a \\emph{b} {c}} $\\text{x}$", {"latex"}) == "a b {c} $\\text{x}$"
+    assert markup.clean("<ol><li>a</li><li>b<ul><li>c</li></ul></li><li>d</li></ol>", {"html"}) == "1. a\n2. b\n\n- c\n\n3. d"
+    assert markup.clean("<h4>x</h4>\\subsection{y}", {"html", "latex"}) == "#### x\n\n## y"
+    deep = 20_000
+    assert markup.clean("{{" * deep + "}}" * deep, {"wiki"}) == "" and markup.clean("\\emph{" * deep + "x" + "}" * deep, {"latex"}) == "x"
+
+
+def test_neighbours_decide():
+    kinds = lambda *lines: {k for k, hit in zip(markup.KINDS, markup.kinds_of(["\n".join(lines)])[0]) if hit}
+    assert kinds("It was read twice.", "", "========", "", "Passed") == set()
+    assert kinds("It was read twice.", "Ferry tolls", "========", "Each toll is due.") == {"markdown"}
+    block = lambda *lines: markup.trees()["markdown"].predict(markup.features(list(lines))).tolist()
+    assert block("It is due.", "```", "port_fee = 20", "```", "port_fee = 20") == [False, True, True, True, False]
+    assert block("Docks and piers", "-----", "x", "Docks and piers", "=====") == [False, False, False, True, True]
+    x = markup.features(["Docks and piers", "======"])
+    x[1, markup.FEATURES.index("words_before")] = 0
+    assert markup.trees()["markdown"].predict(x).tolist() == [True, False]
+
+
 @pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabularies")
 def test_encoding_equals_the_library(spark):
     from tokenizers import Tokenizer

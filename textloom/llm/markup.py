@@ -1,15 +1,20 @@
 """Markup residue: which kinds of markup a text holds, and the text without them.
 
 A text is a flat list of blocks (its lines). A block's features are its word count and link density,
-those of its two neighbours, and how many signs of each family it shows; a decision tree for each kind
+those of its two neighbours, what its neighbours show (an open code fence before it, an underline below
+it), and how many signs of each family it shows itself; a decision tree for each kind
 (html, markdown, wiki, latex), trained on the labelled table in ``markup_labels``, says whether the
-block holds that kind. The trees are small and travel with the tasks; the labelled table is their only
-training data. Rows without any candidate sign never leave the JVM.
+block holds that kind. Neighbours decide what a block alone can't tell: a row of ``=`` is an underline
+below a short line and a printed rule elsewhere; a line is code between two fences. The trees are small
+and travel with the tasks; the labelled table is their only training data. Rows without any candidate
+sign never leave the JVM.
 
-Conversion keeps structure: headings as ``# ``, list items as ``- ``, table cells parted by `` | ``, code
-fences and formulas as they are; comments, attributes, categories and templates go.
+Conversion keeps structure: headings with their level in ``#``, list items as ``- `` or with their number,
+table cells parted by `` | ``, code fences and formulas as they are; comments, attributes, categories and
+templates go, however deep they are nested.
 
-Defined results: null texts hold nothing and stay null; a text without markup is returned unchanged.
+Defined results: null texts hold nothing and stay null; a text without markup is returned unchanged;
+repeated rows give theirs each; an empty table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -60,7 +65,9 @@ _NEEDS = {
     "wiki_link": "[[", "wiki_address": "[http", "wiki_signature": "~~~", "wiki_template": "{{", "wiki_quote": "''", "wiki_heading": "==", "tex_command": "\\", "tex_symbol": "\\", "tex_math": "\\",
 }
 _LINK = re.compile(r"<a\b[^<>]*>([^<>]*)</a>|\[([^\[\]\n]*)\]\([^()\s]+\)|\[\[([^\[\]\n]*)\]\]|https?://\S+")
-FEATURES = (*_SIGNS, "words", "link_density", "words_before", "links_before", "words_after", "links_after")
+FEATURES = (*_SIGNS, "words", "link_density", "words_before", "links_before", "words_after", "links_after", "fenced", "underlined")
+
+_UNDERLINE = list(_SIGNS).index("md_underline")
 
 #: White space of Python's patterns but the line feed, for the JVM.
 _BLANK = r"[\t\x0B\f\r\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -87,13 +94,16 @@ def features(lines: list[str]) -> np.ndarray:
     base = len(_SIGNS)
     out[1:, base + 2: base + 4] = out[:-1, base: base + 2]
     out[:-1, base + 4: base + 6] = out[1:, base: base + 2]
+    fences = np.array([line.lstrip().startswith("```") for line in lines], bool)
+    out[:, base + 6] = (np.cumsum(fences) - fences) % 2 * ~fences
+    out[:-1, base + 7] = out[1:, _UNDERLINE]
     return out
 
 
 class Tree:
     """A binary decision tree by Gini impurity; ties go to the feature that is listed first."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 1) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 20, least: int = 1) -> None:
         self.nodes: list[tuple[int, float, int, int, bool]] = []
         self._grow(x, y, depth, least)
 
@@ -174,39 +184,100 @@ def markup_kinds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 _HEADING = re.compile(r"(?is)<(h[1-6]|header)\b[^<>]*>(.*?)</\1>")
+_LIST = re.compile(r"(?i)<(/?)(ol|ul)\b[^<>]*>|\s*<li\b[^<>]*>\s*")
+_LEVELS = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
+#: A formula, an escaped brace, a command whose text stays, or a brace.
+_BRACES = re.compile(r"(\$\$.*?\$\$|\$[^$\n]*\\[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\))|\\[{}]|(\\(?:emph|text[a-z]+|underline|mbox)\s*\{)|[{}]", re.S)
+_TEMPLATE = re.compile(r"\{\{|\}\}")
+
+
+def _listed(text: str) -> str:
+    """List items on lines of their own, those of numbered lists with their number."""
+    open_lists: list[int] = []
+
+    def item(m: re.Match[str]) -> str:
+        if m[2]:
+            if not m[1]:
+                open_lists.append(0 if m[2].lower() == "ol" else -1)
+            elif open_lists:
+                open_lists.pop()
+            return "\n"
+        if open_lists and open_lists[-1] >= 0:
+            open_lists[-1] += 1
+            return f"\n{open_lists[-1]}. "
+        return "\n- "
+
+    return _LIST.sub(item, text)
+
+
+def _unwrapped(text: str) -> str:
+    """The text without the commands that only dress their text, however they are nested; formulas stay."""
+    out: list[str] = []
+    dressed: list[bool] = []
+    at = 0
+    for m in _BRACES.finditer(text):
+        out.append(text[at: m.start()])
+        at = m.end()
+        if m[2]:
+            dressed.append(True)
+            continue
+        if m[0] == "{":
+            dressed.append(False)
+        elif m[0] == "}" and dressed and dressed.pop():
+            continue
+        out.append(m[0])
+    return "".join([*out, text[at:]])
+
+
+def _untemplated(text: str) -> str:
+    """The text without templates, however they are nested; a brace pair that nothing closes stays."""
+    opened: list[tuple[int, int]] = []
+    parts: list[str] = []
+    at = 0
+    for m in _TEMPLATE.finditer(text):
+        parts.append(text[at: m.start()])
+        at = m.end()
+        if m[0] == "{{":
+            opened.append((len(parts), m.start()))
+            parts.append(m[0])
+        elif opened:
+            del parts[opened.pop()[0]:]
+        else:
+            parts.append(m[0])
+    return "".join([*parts, text[at:]])
 
 
 def clean(text: str, kinds: set[str]) -> str:
     """The text without the given kinds of markup, its structure kept."""
     if "latex" in kinds:
-        text = re.sub(r"\\(?:(?:sub)*section|paragraph|chapter)\*?\{([^{}]*)\}", r"\n# \1\n", text)
+        text = re.sub(r"\\((?:sub)*section|paragraph|chapter)\*?\{([^{}]*)\}", lambda m: f"\n{'#' * _LEVELS.get(m[1], 3)} {m[2]}\n", text)
         text = re.sub(r"\\(?:begin|end)\{[^{}]*\}", "", text)
         text = re.sub(r"\\item\s*", "- ", text)
         text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
         text = re.sub(r"~?\\(?:ref|label|cite)\{[^{}]*\}", "", text)
-        text = re.sub(r"\\(?:emph|text\w+|underline|mbox)\{([^{}]*)\}", r"\1", text)
+        text = _unwrapped(text)
         text = re.sub(r"\\,", " ", text)
         text = re.sub(r"\\S(?![A-Za-z])~?\s*", "§ ", text)
     if "html" in kinds:
         text = re.sub(r"(?s)<!--.*?-->", "", text)
         text = re.sub(r"&lt;(/?[A-Za-z][\w:-]*)&gt;", r"<\1>", text)
-        text = _HEADING.sub(r"\n# \2\n", text)
+        text = _HEADING.sub(lambda m: f"\n{'#' * (int(m[1][1]) if m[1][1].isdigit() else 1)} {m[2]}\n", text)
         text = re.sub(r"(?i)<pre\b[^<>]*>", "\n```\n", text)
         text = re.sub(r"(?i)</pre>", "\n```\n", text)
         text = re.sub(r"(?i)</?code\b[^<>]*>", "`", text)
-        text = re.sub(r"(?i)\s*<li\b[^<>]*>\s*", "\n- ", text)
+        text = _listed(text)
         text = re.sub(r"(?i)</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", text)
-        text = re.sub(r"(?i)<br\s*/?>|<p(?:\s[^<>]*)?>|</(?:p|div|tr|table|section|text|quoted-block|ul|ol)>", "\n", text)
+        text = re.sub(r"(?i)<br\s*/?>|<p(?:\s[^<>]*)?>|</(?:p|div|tr|table|section|text|quoted-block)>", "\n", text)
         text = _TAG.sub("", text)
         text = html.unescape(text)
     if "wiki" in kinds:
+        text = _untemplated(text)
         text = re.sub(r"\[\[(?:Category|File|Image):[^\[\]]*\]\]", "", text)
         text = re.sub(r"\[\[(?!Page [A-Z]?\d+\]\])(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", text)
         text = re.sub(r"\[https?://[^\s\[\]]+ ([^\[\]\n]+)\]", r"\1", text)
         text = re.sub(r"(?<!~)~{3,5}(?!~)", "", text)
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
         text = re.sub(r"(?<!')'{2,5}(?=[^\s'])([^'\n]+?)'{2,5}(?!')", r"\1", text)
-        text = re.sub(r"(?m)^\s*(={2,6})\s*([^=\n]+?)\s*\1\s*$", r"# \2", text)
+        text = re.sub(r"(?m)^\s*(={2,6})\s*([^=\n]+?)\s*\1\s*$", lambda m: f"{'#' * len(m[1])} {m[2]}", text)
         text = re.sub(r"(?m)^\s*(?:\{\|.*|\|\}|\|-.*)\n?", "", text)
         text = re.sub(r"(?m)^\s*[!|]\s*(.*(?:!!|\|\|).*)$", lambda m: re.sub(r"\s*(?:!!|\|\|)\s*", " | ", m[1]), text)
     if "markdown" in kinds:
@@ -214,7 +285,7 @@ def clean(text: str, kinds: set[str]) -> str:
         for i in range(0, len(parts), 2):
             part = parts[i]
             part = re.sub(r"(?m)^(\S.*)\n=+[ \t]*$", r"# \1", part)
-            part = re.sub(r"(?m)^\s{0,3}#{1,6}\s+", "# ", part)
+            part = re.sub(r"(?m)^\s{0,3}(#{1,6})\s+", r"\1 ", part)
             part = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]+\)", r"\1", part)
             part = re.sub(r"(\*\*|__|~~)(?=[^\s*_~])([^\n]+?)\1", r"\2", part)
             part = re.sub(r"(?m)^>\s+", "", part)

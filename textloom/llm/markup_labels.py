@@ -23,9 +23,9 @@ DOCUMENTS: list[list[tuple[str, str]]] = [
     [("", "The chair’s ‘own’ motion -- see item #4 -- failed, 3-2 *"), ("", "cost_center = 5"), ("", "[H.R. 2021 Referred in Senate (RFS)]"), ("", "To direct the Secretary to publish a list.")],
     [("markdown", "## Findings and purpose"), ("", "The Congress finds the following."), ("markdown", "This is **very** plain."), ("markdown", "The __first__ report is due.")],
     [("markdown", "See [the list](https://example.org/list/4)."), ("markdown", "![seal](/img/4.png)"), ("markdown", "~~Repealed~~ by Public Law 1-2.")],
-    [("markdown", "```"), ("", "toll_rate = 4"), ("markdown", "```"), ("", "The rate is set each year.")],
+    [("markdown", "```"), ("markdown", "toll_rate = 4"), ("markdown", "```"), ("", "The rate is set each year.")],
     [("markdown", "| item | amount |"), ("markdown", "|---|:---:|"), ("markdown", "| ferry | 20 |"), ("", "The amounts are in dollars.")],
-    [("", "Purposes"), ("markdown", "======"), ("markdown", "> The board shall consult each county."), ("markdown", "Use `form 4` for a claim.")],
+    [("markdown", "Purposes"), ("markdown", "======"), ("markdown", "> The board shall consult each county."), ("markdown", "Use `form 4` for a claim.")],
     [("markdown", "# Title"), ("markdown", "**(a)** In general."), ("markdown", "`(2)` any other fee; and"), ("", "(3) each fine.")],
     [("wiki", "== Findings =="), ("wiki", "The [[Clean Water Act|act]] applies."), ("wiki", "'''Secretary''' means the head."), ("", "It applies to all.")],
     [("wiki", "{{cite act|name=Harbor|year=1963}}"), ("wiki", "[[Category:Public law]]"), ("wiki", "A ''short'' title."), ("wiki", "=== Ports ===")],
@@ -35,5 +35,9 @@ DOCUMENTS: list[list[tuple[str, str]]] = [
     [("latex", "\\begin{itemize}"), ("latex", "\\item by 20 percent for ports"), ("latex", "\\end{itemize}"), ("", "and no more.")],
     [("latex", "\\emph{harbor} means"), ("latex", "under\\,\\S~45 of this act"), ("latex", "\\[ r_{t+1} = \\sum_{i=1}^{5} w_i r_i \\]"), ("latex", "the term\\footnote{as amended} applies")],
     [("latex", "\\subsection*{Ports}"), ("latex", "\\textbf{Board} and \\underline{clerk}"), ("latex", "\\paragraph{Notice} is given."), ("", "It is due in June.")],
+    [("", "The board approves the list of each port and keeps it."), ("", ""), ("", "======"), ("", ""), ("", "Approved")],
+    [("", "Printed by the clerk"), ("", ""), ("", "=========="), ("", "12")],
+    [("", "The fees are due."), ("markdown", "Harbor dues"), ("markdown", "==========="), ("", "A due is paid each year.")],
+    [("", "The rate follows."), ("markdown", "```"), ("markdown", "if tonnage > 40:"), ("markdown", "    toll = 9"), ("markdown", "```"), ("", "if it is due")],
     [("html markdown", "<p>See **the list**.</p>"), ("html latex", "<b>note</b> \\textit{and} text"), ("wiki latex", "[[port|ports]] and \\emph{fees}"), ("html wiki", "&mdash; '''bold''' &nbsp;")],
 ]
