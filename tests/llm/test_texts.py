@@ -122,7 +122,7 @@ def test_leaks(spark):
     items = spark.createDataFrame([*enumerate(item), (0, item[0]), (77, None), (78, " ")], "item_id long, item_text string")
     got = [(r.doc_id, r.item_id) for r in leakage.leaks(df, "doc", "body", items, "item_id", "item_text").collect()]
     assert sorted(got) == [(1, 0), (2, 1), (3, 1), (8, 2), (8, 3)]
-    assert leakage.leaks(df, "doc", "body", items, "item_id", "item_text", leakage.Search(block=50)).count() == 5
+    assert leakage.leaks(df, "doc", "body", items, "item_id", "item_text", leakage.Search(block=2, group=7)).count() == 5
     assert leakage.leaks(df, "doc", "body", items.limit(0), "item_id", "item_text").count() == 0
     assert leakage.leaks(df.limit(0), "doc", "body", items, "item_id", "item_text").count() == 0
 
