@@ -37,7 +37,7 @@ def test_near_duplicates_against_brute_force(spark, n, t):
         rows.append((i, text.upper() if rng.random() < 0.3 else text))
     rows += [(900, None), (901, ""), (902, "   "), (903, "two words"), (904, rows[3][1]), (905, rows[3][1]), (906, "é ü ö"), (907, " ".join(vocabulary * 200))]
     df = spark.createDataFrame([(i, x, i) for i, x in rows], "doc long, body string, id long")
-    got = [tuple(r) for r in neardup.near_duplicate_pairs(df, "doc", "body", neardup.NearDup(words=n, threshold=t, hot=4)).collect()]
+    got = [tuple(r) for r in neardup.near_duplicate_pairs(df, "doc", "body", neardup.NearDup(words=n, threshold=t, hot=4, per_part=100)).collect()]
     assert len(got) == len(set(got)) and set(got) == _jaccard_pairs(rows, n, t)
     groups = {r.id: r for r in neardup.near_duplicate_groups(df, "doc", "body", neardup.NearDup(words=n, threshold=t)).collect()}
     for a, b in got:
@@ -110,6 +110,8 @@ def test_similarity_groups(spark):
             label[ids[a]] = label[ids[b]] = min(label[ids[a]], label[ids[b]])
     want = {i: c for i, c in label.items() if sum(v == c for v in label.values()) >= 3}
     assert got == want
+    split = clusters.similarity_groups(_vectors(spark, rows), "section_id", "embedding", p=clusters.KMeans(per_cell=20, cell_most=24)).collect()
+    assert {r.section_id: r.cluster_id for r in split} == want
     assert clusters._linked(np.repeat(x[:3], 50, axis=0), 0.8, cap=16).tolist() == [0] * 50 + clusters._linked(np.repeat(x[:3], 50, axis=0), 0.8, cap=4096).tolist()[50:]
     report = clusters.cluster_report(_vectors(spark, rows), "section_id", "embedding", members=2, p=clusters.KMeans(per_cell=20)).collect()
     assert max(r.rank for r in report) == 2 and sum({r.cluster: r.size for r in report}.values()) == len(ids)
@@ -151,6 +153,13 @@ def test_nearest_vectors(spark):
     got = {(r.id_a, r.id_b) for r in knn.similar_pairs(tables, knn.Index(floor=0.9, per_part=60)).collect()}
     want = {(k, 1000 + k) for k in range(1, 100)}
     assert want <= got and all(a in (0, 1000) or a >= 2000 or (a, b) in want for a, b in got)
+    # parts cut into blocks give the same rows
+    cut = {(r.id_a, r.id_b) for r in knn.similar_pairs(tables, knn.Index(floor=0.9, per_part=60, most=16)).collect()}
+    assert cut == got
+    for k in (8, 10**6):
+        many = knn.nearest(tables, knn.Index(per_part=10**6, most=k), tables.where("id % 50 = 0").select("tab", "id")).collect()
+        assert k == 8 or {(r.id, r.neighbour, r.rank) for r in many} == {(r.id, r.neighbour, r.rank) for r in last}
+        last = many
     exact = knn.nearest(tables, knn.Index(per_part=10**6), tables.where("id % 50 = 0").select("tab", "id")).collect()
     per = {}
     for r in exact:
@@ -180,12 +189,11 @@ def test_two_poisson(spark):
 
 def test_pieces(spark):
     rng = random.Random(5)
-    for text in ["".join(rng.choice("ab .\n;—") for _ in range(rng.randint(1, 5000))) for _ in range(60)] + ["x" * 4001, " " * 3000, "\n" * 2500, "é" * 2001]:
+    for text in ["".join(rng.choice("ab .\n;—") for _ in range(rng.randint(1, 5000))) for _ in range(60)] + ["x" * 4001, " " * 3000, "\n" * 2500, "é" * 2001, "x" * 500 + "\n" + "y" * 500 + "\nz", ("x" * 500 + "\n") * 3, "x" * 500 + ". " + "y" * 501, "\n" + "x" * 501]:
         parts, forced = pieces.cut(text, 500, 60)
         assert "".join(text[o:e] for _, o, e in parts) == text
         assert all(0 < e - s <= 500 and 0 <= o - s <= 60 for s, o, e in parts)
-        if len(text) > 500 and pieces.longest_stretch(text) < 500:
-            assert not forced
+        assert forced == (len(text) > 500 and pieces.longest_stretch(text) > 500)
     sentence = "word " * 30 + "end. "
     df = spark.createDataFrame([(1, sentence * 20, None), (2, "y" * 2500, 7), (3, "short", 8), (4, None, 9), (1, sentence * 20, None)], "id long, t string, version long")
     rows = pieces.pieces(df, ["id", "version"], "t").collect()

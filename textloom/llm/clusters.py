@@ -11,8 +11,9 @@ Lloyd steps exchange one partial sum per centroid and task. k follows the row co
 Groups. Vectors of similarity >= threshold belong together, also through others. Each vector goes to
 the ``probes`` nearest centroids; a cell finds its exact links and sends only one row per vector, with
 the smallest id of its local group; groups that share a vector are joined by components. A cell of any
-size is compared whole, in blocks; above ``cell_cap`` rows near a few leaders are joined first, so that
-only rows of different groups are compared.
+size is compared whole: above ``cell_cap`` rows near a few leaders are joined first, so that only rows of
+different groups are compared, and above ``cell_most`` the cell is cut into blocks of rows and each pair of
+blocks is a unit of work of its own, so that a hot cell is many tasks, none of them large.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .wordhash import LETTERS, buffers, mix, unique_pairs, words
 
 @dataclass(frozen=True)
 class KMeans:
-    """Rows wanted per centroid, bound of k, seeding rounds, Lloyd steps, probes of a vector, largest cell without leaders."""
+    """Rows wanted per centroid, bound of k, seeding rounds, Lloyd steps, probes of a vector, largest cell without leaders, largest cell of one task."""
 
     per_cell: int = 256
     max_k: int = 2048
@@ -41,6 +42,7 @@ class KMeans:
     steps: int = 4
     probes: int = 8
     cell_cap: int = 4096
+    cell_most: int = 16_384
 
 
 def hashed_features(texts: DataFrame, dim: int = 64, bits: int = 18) -> DataFrame:
@@ -275,6 +277,13 @@ def similarity_groups(df: DataFrame, id_col: str, vector_col: str, threshold: fl
     centroids = fit(distinct, rows, p)
     cells = _probed(distinct, centroids, p.probes).select("cell", "id", "vec") if len(centroids) else distinct.select(F.lit(0).alias("cell"), "id", "vec").limit(0)
     cap = p.cell_cap
+    # cells above ``cell_most``: half as many rows a block, each pair of blocks a unit; one row a cell is broadcast
+    cut = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > p.cell_most).select("cell", F.ceil(F.col("n") * 2 / p.cell_most).cast("int").alias("cuts"))
+    cells = cells.join(F.broadcast(cut), "cell", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    other = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: j != own)))
+    cells = cells.withColumn("other", other).withColumn("unit", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.least(own, F.col("other")) * F.col("cuts") + F.greatest(own, F.col("other"))))
+    cells = cells.select("cell", "unit", "id", "vec")
 
     def local(table: pa.Table) -> pa.Table:
         ids = np.asarray(plain(table["id"])).astype(np.int64)
@@ -283,7 +292,7 @@ def similarity_groups(df: DataFrame, id_col: str, vector_col: str, threshold: fl
         ids = ids[order]
         return pa.table({"src": pa.array(ids[label]), "dst": pa.array(ids)})
 
-    edges = cells.groupBy("cell").applyInArrow(local, "src long, dst long").where("src <> dst")
+    edges = cells.groupBy("cell", "unit").applyInArrow(local, "src long, dst long").where("src <> dst")
     group = components(edges)
     node = one.select("vec", "node").join(group, "node", "left").select("vec", F.coalesce("component", "node").alias("component"))
     out = vectors.join(node, "vec").select(F.col("id").alias("section_id"), "component")

@@ -11,7 +11,9 @@ indexed once. Ranking is by similarity, then id. The sample is the only part of
 looked at whole; everything is indexed and answered.
 
 Scale: each vector is shuffled ``probes`` times; the parts follow the row count (``per_part``) up to
-``max_parts``; above that, parts grow and a task streams residents in blocks.
+``max_parts``. A part with more than ``most`` residents or visitors - past ``max_parts``, or where a third of all
+rows are alike - is cut into blocks of residents and blocks of visitors, and each pair of blocks is a unit of
+work of its own, so that no task holds more than two blocks. Counts of the parts are all the driver gets.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..workspace import written
+from ..workspace import width, written
 from .vectors import matrix, plain, unit_vectors
+from .wordhash import mix
 
 
 @dataclass(frozen=True)
 class Index:
-    """Neighbours, parts visited, rows wanted per part, bound of parts, bound of the sample, least similarity to report."""
+    """Neighbours, parts visited, rows wanted per part, bound of parts, bound of the sample, least similarity to report, rows of a block."""
 
     k: int = 5
     probes: int = 4
@@ -37,6 +40,7 @@ class Index:
     max_parts: int = 512
     sample: int = 8192
     floor: float | None = None
+    most: int = 16_384
 
 
 def fit(sample: np.ndarray, parts: int, rounds: int = 8, epochs: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -136,20 +140,62 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
         asks = nodes.join(asked, ["tab", "vec"], "left").select("tab", "id", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
     both_ways = queries is None
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def routed_to(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, part, rank) of the parts a row lives in (rank 0) or visits."""
         w, b = model.value
         m = min(probes, len(b))
+        z = matrix(part["vec"]) @ w.T + b
+        top = np.argpartition(-z, m - 1, axis=1)[:, :m]
+        z = np.take_along_axis(z, top, axis=1)
+        top = np.take_along_axis(top, np.argsort(-z, axis=1, kind="stable"), axis=1)
+        row, rank = np.nonzero(np.asarray(part["asks"].to_numpy(zero_copy_only=False)).astype(bool)[:, None] | (np.arange(m) == 0))
+        return row, top[row, rank], rank
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows live in each part and how many ask there, one row a part and task."""
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                row, to, rank = routed_to(part)
+                asks_, tabs = np.asarray(part["asks"].to_numpy(zero_copy_only=False)).astype(bool)[row], np.array(part["tab"].to_pylist())[row]
+                for tab in np.unique(tabs):
+                    own = tabs == tab
+                    n = seen.setdefault(str(tab), np.zeros((2, parts), np.int64))
+                    n[0] += np.bincount(to[own & (rank == 0)], minlength=parts)
+                    n[1] += np.bincount(to[own & asks_], minlength=parts)
+        for tab, n in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([tab] * parts), pa.array(np.arange(parts, dtype=np.int32)), pa.array(n[0]), pa.array(n[1])], ["tab", "part", "homes", "asks"])
+
+    cuts: dict[tuple[str, int], tuple[int, int]] = {}
+    counted = asks.mapInArrow(sizes, "tab string, part int, homes long, asks long").groupBy("tab", "part").agg(F.sum("homes"), F.sum("asks"))
+    for tab, part, homes, asking in counted.collect():  # one row a part
+        cuts[tab, part] = (max(1, -(-homes // p.most)), max(1, -(-asking // p.most)))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                z = matrix(part["vec"]) @ w.T + b
-                top = np.argpartition(-z, m - 1, axis=1)[:, :m]
-                z = np.take_along_axis(z, top, axis=1)
-                top = np.take_along_axis(top, np.argsort(-z, axis=1, kind="stable"), axis=1)
-                keep = np.asarray(part["asks"])[:, None] | (np.arange(m) == 0)
-                row, rank = np.nonzero(keep)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part["tab"].take(take), pa.array(top[row, rank].astype(np.int32)), pa.array(rank == 0), part["asks"].take(take), part["id"].take(take), part["vec"].take(take)], ["tab", "part", "home", "asks", "id", "vec"])
+                row, to, rank = routed_to(part)
+                ids = mix(np.asarray(part["id"]).astype(np.int64).view(np.uint64))
+                tabs, asks_ = part["tab"].to_pylist(), np.asarray(part["asks"].to_numpy(zero_copy_only=False)).astype(bool)
+                grid = np.array([cuts.get((tabs[r], t), (1, 1)) for r, t in zip(row.tolist(), to.tolist())], np.int64).reshape(-1, 2)
+                own_r, own_q = (ids[row] % grid[:, 0].astype(np.uint64)).astype(np.int64), ((ids[row] >> np.uint64(32)) % grid[:, 1].astype(np.uint64)).astype(np.int64)
+                # a resident stands in its block of residents, before every block of visitors
+                home = np.flatnonzero(rank == 0)
+                e = np.repeat(home, grid[home, 1])
+                q = np.arange(len(e)) - np.repeat(np.cumsum(grid[home, 1]) - grid[home, 1], grid[home, 1])
+                out = [(e, own_r[e], q, np.ones(len(e), bool), asks_[row[e]] & (q == own_q[e]))]
+                # one that asks stands in its block of visitors, before every block of residents
+                far = np.flatnonzero(asks_[row])
+                e = np.repeat(far, grid[far, 0])
+                r = np.arange(len(e)) - np.repeat(np.cumsum(grid[far, 0]) - grid[far, 0], grid[far, 0])
+                new = (rank[e] > 0) | (r != own_r[e])
+                out.append((e[new], r[new], own_q[e[new]], np.zeros(int(new.sum()), bool), np.ones(int(new.sum()), bool)))
+                e, r, q, home, asking = (np.concatenate(x) for x in zip(*out))
+                take = pa.array(row[e])
+                cell = r * grid[e, 1] + q
+                yield pa.RecordBatch.from_arrays([part["tab"].take(take), pa.array(to[e].astype(np.int32)), pa.array(cell), pa.array(home), pa.array(asking), part["id"].take(take), part["vec"].take(take)], ["tab", "part", "cell", "home", "asks", "id", "vec"])
 
     def rank_part(key: tuple, table: pa.Table) -> pa.Table:
         home = np.asarray(plain(table["home"]).to_numpy(zero_copy_only=False)).astype(bool)
@@ -158,6 +204,8 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
         x = matrix(table["vec"])
         order = np.argsort(ids[home], kind="stable")
         base, base_ids = x[home][order], ids[home][order]
+        if not len(base):
+            return pa.table({"tab": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         q_rows = np.flatnonzero(asks_)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(0, len(q_rows), 1024):
@@ -201,8 +249,10 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
         one, two, sim = (np.concatenate(x) for x in zip(*out))
         return pa.table({"tab": pa.array([key[0].as_py()] * len(one), pa.string()), "id": pa.array(one), "neighbour": pa.array(two), "similarity": pa.array(sim)})
 
-    routed = asks.mapInArrow(route, "tab string, part int, home boolean, asks boolean, id long, vec binary")
-    met = routed.groupBy("tab", "part").applyInArrow(rank_part, "tab string, id long, neighbour long, similarity double").distinct()
+    routed = asks.mapInArrow(route, "tab string, part int, cell long, home boolean, asks boolean, id long, vec binary")
+    # about one unit a task, whatever the session's number of partitions
+    routed = routed.repartition(max(width(spark), sum(r * q for r, q in cuts.values())), "tab", "part", "cell")
+    met = routed.groupBy("tab", "part", "cell").applyInArrow(rank_part, "tab string, id long, neighbour long, similarity double").distinct()
     best = Window.partitionBy("tab", "id").orderBy(F.desc("similarity"), "neighbour")
     met = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
     # copies: an answer names ids, the node of a group only stands for them

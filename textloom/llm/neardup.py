@@ -6,11 +6,15 @@ a factor t (length filter), and their first shared n-gram leaves enough n-grams
 (positional filter). A parity bitmap of the whole set bounds the overlap of what is left (suffix
 filter). All four only drop pairs that can't qualify, so no link is lost. What passes is verified once.
 
-Scale. Rarity comes from a count sketch of fixed size (the only thing broadcast). Copies - texts with
-one set - are joined once, under the hash of their set. A text is sent once to each of R token
-partitions together with its bitmap, not once per token; a token whose count is above ``hot`` is cut
-into blocks of texts, and each pair of blocks is another unit of work. Sets are shuffled only for
-texts that occur in a candidate pair (Bloom filter of fixed size), and pairs only as two hashes.
+Scale. Rarity comes from a count sketch whose size follows the text, up to 2**24 counters (the only thing
+broadcast). Copies - texts with one set - are joined once, under the hash of their set. A text is sent once
+to each of R token partitions together with its bitmap, not once per token; R follows the number of n-grams,
+so that a partition holds about ``per_part`` postings whatever the input. A token whose count is above ``hot``
+(or eight times the sketch's mean count, above its noise) is cut into blocks of texts, and each pair of blocks
+is another unit of work. Sets are shuffled only for texts that occur in a candidate pair (a Bloom filter that
+follows the number of pairs, up to 2**24 bits), and pairs only as two hashes. Two different n-grams share a
+40-bit hash with a chance of 1e-12, which can shift a similarity by one n-gram; two different sets share a
+64-bit hash with a chance of 5e-20 a pair.
 
 Defined results: null, blank and short texts (fewer than ``n`` words) have no set and no partner;
 copies have similarity 1; repeated rows of one id are one row; extra columns are ignored.
@@ -37,13 +41,14 @@ _HASH = np.uint64((1 << HASH_BITS) - 1)
 
 @dataclass(frozen=True)
 class NearDup:
-    """Parameters: n-gram length, similarity, bits of the rarity sketch, bitmap bits per n-gram, hot-token block size."""
+    """Parameters: n-gram length, similarity, least bits of the rarity sketch, bitmap bits per n-gram, hot-token block size, postings of a partition."""
 
     words: int = 5
     threshold: float = 0.8
     sketch_bits: int = 21
     bits_per_gram: int = 3
     hot: int = 20_000
+    per_part: int = 500_000
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +90,19 @@ def near_duplicates(texts: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame,
     is the members' table, which the caller may drop when it is through with them.
     """
     spark = texts.sparkSession
-    n, t, parts = p.words, p.threshold, width(texts.sparkSession)
-    bits, per_gram, hot = p.sketch_bits, p.bits_per_gram, p.hot
+    n, t, per_gram = p.words, p.threshold, p.bits_per_gram
+    chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    bits = min(24, max(p.sketch_bits, (chars // 64).bit_length()))
 
     def grams(batch: pa.RecordBatch) -> np.ndarray:
         out = [_sets(b["text"], n)[1] for b in blocks(batch, "text")]
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    rare = spark.sparkContext.broadcast(_classes(count_sketch(texts.select("text"), grams, bits)))
+    counts = count_sketch(texts.select("text"), grams, bits)
+    total = int(counts.sum(dtype=np.int64))
+    hot = max(p.hot, 8 * total // len(counts))
+    parts = max(width(spark), int((1 - t) * total) // p.per_part)
+    rare = spark.sparkContext.broadcast(_classes(counts))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sent = rare.value, set()
@@ -105,14 +115,14 @@ def near_duplicates(texts: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame,
     routed = texts.select("text").mapInArrow(postings, "part int, key long, n int, bitmap binary, tokens binary, places binary")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)  # one token partition: its size is set by the number of partitions and by hot
+        rows = list(batches)  # one token partition, of about ``per_part`` postings
         if rows:
             yield from _candidates(pa.Table.from_batches(rows), t)
 
     pairs = routed.repartitionById(parts, "part").mapInArrow(candidates, "a long, b long").distinct()
     pairs, pairs_path = written(pairs, "neardup-pairs")
 
-    bloom_bits = 22
+    bloom_bits = min(24, max(22, (16 * pairs.count()).bit_length()))
 
     def ends(batch: pa.RecordBatch) -> np.ndarray:
         return mix(np.concatenate([np.asarray(batch["a"]), np.asarray(batch["b"])]).astype(np.int64).view(np.uint64))

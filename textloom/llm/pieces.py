@@ -45,8 +45,9 @@ def longest_stretch(text: str) -> int:
 
 
 def _boundaries(text: str) -> tuple[list[int], dict[int, int]]:
-    """(cut points, strength): a cut lies right after the boundary sign, which ends the part before it."""
-    strength: dict[int, int] = {}
+    """(cut points, strength): a cut lies right after the boundary sign, which ends the part before it, or, if
+    nothing better is near, right before it: a stretch as long as the limit has no room for its sign."""
+    strength = {m.start(): 0 for m in _NATURAL.finditer(text) if m.start()}
     for rank, pattern in ((1, _NATURAL), (2, _SENTENCE), (3, re.compile("\n")), (4, _PARAGRAPH)):
         for m in pattern.finditer(text):
             strength[m.end()] = rank
@@ -57,7 +58,8 @@ def _boundaries(text: str) -> tuple[list[int], dict[int, int]]:
 def cut(text: str, size: int = 2000, overlap: int = 200) -> tuple[list[tuple[int, int, int]], bool]:
     """(pieces, forced): pieces are (start, own, end), text[start:end] with text[start:own] repeated.
 
-    ``forced`` tells that some cut lies at no natural boundary. A text within the limit is one piece.
+    ``forced`` tells that some cut lies at no natural boundary, which is so if, and only if, some stretch between
+    natural boundaries is longer than the limit. A text within the limit is one piece.
     """
     n = len(text)
     if n <= size:
@@ -121,8 +123,9 @@ def pieces(df: DataFrame, keys: list[str], text_col: str, p: Limits = Limits())
             for block in blocks(batch, "text", 256):
                 row, sub, content, repeated, kinds_ = [], [], [], [], []
                 for i, text in enumerate(block["text"].to_pylist()):
-                    kind = "forced" if longest_stretch(text) > size else "natural"
-                    for k, (start, own, end) in enumerate(cut(text, size, overlap)[0]):
+                    parts, forced = cut(text, size, overlap)
+                    kind = "forced" if forced else "natural"
+                    for k, (start, own, end) in enumerate(parts):
                         row.append(i)
                         sub.append(k)
                         content.append(text[start:end])
