@@ -216,3 +216,67 @@ def modularity(t: Table) -> DataFrame:
 @query()
 def flat_clusters(t: Table) -> DataFrame:
     return C.flat_clusters(B.sections(t), pair_features_of(t))
+
+
+@query()
+def concept_groups(t: Table) -> DataFrame:
+    """The groups of every document by the path that its structure asks for; pair features of flat documents only."""
+    rows = B.sections(t)
+    stats = D.mean_std(rows, "v", B.DIM)
+    z = rows.crossJoin(F.broadcast(stats)).withColumn("z", V.standardized(F.col("v"), F.col("mean"), F.col("std")))
+    flat = _coverage(t).where("coverage <= 0").select("doc_id")
+    return C.concept_groups(z, pair_features_of(t).join(flat, "doc_id", "left_semi"))
+
+
+@query()
+def modularity_cut(t: Table) -> DataFrame:
+    return C.modularity_cuts(B.sections(t), pair_features_of(t)).withColumn("modularity", F.round("modularity", 6))
+
+
+@query()
+def silhouette_profile(t: Table) -> DataFrame:
+    return C.silhouette_profiles(B.sections(t)).select("doc_id", "k", B.r6(F.col("silhouette"), "silhouette"), B.r6(F.col("height"), "height"))
+
+
+@query()
+def profile_best_k(t: Table) -> DataFrame:
+    """The k up to 8 of best silhouette, the smallest of equals; one cluster where the profile is empty."""
+    best = C.silhouette_profiles(B.sections(t)).where("k <= 8").groupBy("doc_id").agg(F.max_by("k", F.struct(F.col("silhouette"), -F.col("k"))).alias("k"))
+    return B.sections(t).select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", F.coalesce("k", F.lit(1)).alias("k"))
+
+
+@query()
+def count_at_height(t: Table) -> DataFrame:
+    """Clusters that cuts at several heights leave."""
+    n = B.sections(t).groupBy("doc_id").agg(F.count("*").alias("n"))
+    heights = n.select("doc_id", "n", F.explode(F.array(*[F.lit(h) for h in (0.25, 0.5, 0.75)])).alias("at"))
+    return heights.join(C.hac_merges(B.sections(t)), "doc_id", "left").groupBy("doc_id", "at").agg((F.max("n") - F.count_if(F.col("height") <= F.col("at"))).alias("clusters"))
+
+
+#: an arbitrary grouping with more than two clusters: runs of three sections; every pair of them is a candidate merge
+_RUNS = f"""{_FEATURES}, r AS (SELECT doc_id, n, i, j, i // 3 AS ci, j // 3 AS cj, {_AFFINITY} AS aff, emb, tf_ FROM f),
+    co AS (SELECT doc_id, ci AS c, avg(aff) AS coh FROM r WHERE ci = cj GROUP BY ALL),
+    x AS (SELECT doc_id, ci AS a, cj AS b, max(n) AS n, avg(aff) AS sim, min(aff) AS cmin, stddev_pop(aff) AS cstd, avg(j - i) AS gap, min(j - i) AS near, avg(emb) AS e, avg(tf_) AS x FROM r WHERE ci < cj GROUP BY ALL),
+    y AS (SELECT x.*, least(3, n - 3 * a) AS sa, least(3, n - 3 * b) AS sb, least(coalesce(p.coh, 1), coalesce(q.coh, 1)) AS coh FROM x LEFT JOIN co p ON p.doc_id = x.doc_id AND p.c = a LEFT JOIN co q ON q.doc_id = x.doc_id AND q.c = b),
+    k AS (SELECT *, row_number() OVER w AS place, first_value(sim) OVER w AS best, nth_value(sim, 2) OVER (PARTITION BY doc_id ORDER BY round(sim, 9) DESC, a DESC, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY round(sim, 9) DESC, a DESC, b DESC))
+"""
+
+
+@query(f"""{_RUNS} SELECT doc_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(sim, 6) AS sim, round(sim - CASE WHEN place = 1 THEN coalesce(second, 0) ELSE best END, 6) AS margin, round(least(sa, sb) * 1.0 / n, 6) AS min_size_frac,
+    round((sa + sb) * 1.0 / n, 6) AS total_size_frac, CAST(CASE WHEN near = 1 THEN 1 ELSE 0 END AS DOUBLE) AS adjacent, round(gap / n, 6) AS mean_index_gap_frac, round(coh, 6) AS cohesion, round((n - sa - sb + 2) * 1.0 / n, 6) AS clusters_remaining_frac,
+    round(cmin, 6) AS cross_min, round(cstd, 6) AS cross_std, round(e, 6) AS emb_avglink, round(x, 6) AS tfidf_avglink, round(sim - coh, 6) AS cohesion_contrast FROM k""")
+def candidate_merges(t: Table) -> DataFrame:
+    """All 13 features of every candidate merge of a grouping, here runs of three sections."""
+    r = pair_features_of(t).withColumn("a", F.floor(F.col("i") / 3).cast("int")).withColumn("b", F.floor(F.col("j") / 3).cast("int"))
+    return C.candidate_merges(r).select("doc_id", "a", "b", *[B.r6(F.col(c), c) for c in Mo.MERGE_STOP.features])
+
+
+@query(f"{_FEATURES}, a AS (SELECT doc_id, n, {_AFFINITY} AS aff FROM f), g AS (SELECT doc_id, aff - lead(aff) OVER (PARTITION BY doc_id ORDER BY aff DESC) AS gap FROM a), c AS (SELECT doc_id, sum(length(text)) AS chars FROM s GROUP BY doc_id) SELECT a.doc_id, CAST(max(n) AS INTEGER) AS n, round(max(ln(c.chars)), 6) AS log_chars, round(avg(aff), 6) AS mean, round(stddev_pop(aff), 6) AS std, round(coalesce(max(m.gap), 0), 6) AS biggest_gap, round(avg(CASE WHEN aff > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS above_half FROM a JOIN c USING (doc_id) JOIN (SELECT doc_id, max(gap) AS gap FROM g GROUP BY doc_id) m USING (doc_id) GROUP BY a.doc_id")
+def affinity_shape(t: Table) -> DataFrame:
+    """The distribution of a document's affinities, with its size and the biggest gap between neighbours in rank."""
+    p = pair_features_of(t).withColumn("gap", F.col("affinity") - F.lead("affinity").over(Window.partitionBy("doc_id").orderBy(F.desc("affinity"))))
+    chars = B.sections(t).groupBy("doc_id").agg(F.ln(F.sum(F.char_length("text"))).alias("log_chars"))
+    g = p.groupBy("doc_id").agg(
+        F.max("n").alias("n"), B.r6(F.avg("affinity"), "mean"), B.r6(F.stddev_pop("affinity"), "std"), B.r6(F.coalesce(F.max("gap"), F.lit(0.0)), "biggest_gap"), B.r6(F.avg((F.col("affinity") > 0.5).cast("double")), "above_half"),
+    )
+    return g.join(chars, "doc_id").withColumn("log_chars", F.round("log_chars", 6))
