@@ -56,10 +56,43 @@ def test_stream_merge(spark, tmp_path):
     run = lambda: ingest.start(spark.readStream.schema(schema).parquet(f"{src}/*"), out, f"file://{tmp_path}/cp", once=True).awaitTermination()
     run()
     assert ingest.read(spark, out).count() == 2
-    spark.createDataFrame([(1, 0, "SEC. 3. C"), (3, 0, "SEC. 1. D")], schema).write.parquet(str(src / "b"))
+    spark.createDataFrame([(1, 0, "SEC. 3. C "), (3, 0, "SEC. 1. D")], schema).write.parquet(str(src / "b"))
     run()
     run()
-    assert sorted((r.version_id, r.section_identifier) for r in ingest.read(spark, out).collect()) == [(1, "3"), (3, "1")]
+    assert sorted((r.version_id, r.section_identifier) for r in ingest.read(spark, out).collect()) == [(1, "2"), (1, "3"), (3, "1")]
+
+
+def test_stream_keeps_pending_chunks(spark, tmp_path):
+    src, out = f"file://{tmp_path}/src2", f"file://{tmp_path}/out2"
+    schema = "version_id long, chunk_index int, content string"
+    run = lambda: ingest.start(spark.readStream.schema(schema).parquet(f"{src}/*"), out, f"file://{tmp_path}/cp2", once=True).awaitTermination()
+    batches = [[(1, 0, "SEC. 1. One. "), (2, 0, "no heading here")], [(3, 1, "b")], [(1, 1, "SEC. 2. Two.")], [(3, 0, "SEC. 4. a")]]
+    sizes = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{k}")
+        run()
+        sizes.append(sorted((r.version_id, r.section_identifier) for r in ingest.read(spark, out).collect()))
+    assert sizes[0] == sizes[1] == [(1, "1"), (2, None)] and sizes[2] == [(1, "1"), (1, "2"), (2, None)]
+    assert sizes[3] == [(1, "1"), (1, "2"), (2, None), (3, "4")]
+    assert len([d for d in (tmp_path / "out2").iterdir() if d.name.startswith("g")]) == 2
+
+
+def test_parse_document(spark):
+    from textloom.operators import structure
+
+    xml = "<bill><legis-body><title><enum>I</enum><header>Ports</header><section><enum>4.</enum><header>Tolls</header><text>Pay.</text></section></title></legis-body></bill>"
+    rows = [
+        (1, xml, "Formatted XML"), (2, "<bill><p>SEC. 7. Fees are due.</p></bill>", "Formatted XML"), (3, "<bill> broken SEC. 1.", "Formatted XML"), (4, "SEC. 1. A. SEC. 2. B.", "formatted text"), (5, " plain ", "Formatted Text"),
+        (6, "%PDF-1.4 SEC. 1.", "PDF"), (7, "SEC. 9. Text.", "pdf"), (8, "SEC. 3. Other.", "html"), (9, "", "Formatted Text"), (10, None, "Formatted Text"), (11, "Resolved, that (1) a; (2) b.", "Formatted Text"), (12, "<bill><p>nothing</p></bill>", "Formatted XML"),
+    ]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc long, body string, kind string, section_index int")
+    got: dict = {}
+    for r in structure.parse_document(df, "doc", "body", "kind").collect():
+        got.setdefault(r.doc, []).append((r.section_index, r.section_identifier, r.kind, r.parser, r.content))
+    assert [x[1] for x in sorted(got[4])] == ["1", "2"] and got[1] == [(0, "4", "Section", "GpoXml", "4.TollsPay.")] and got[2][0][1] == "7"
+    assert got[3] == [(0, None, "Fallback", "Fallback", "<bill> broken SEC. 1.")] and got[5] == [(0, None, "Fallback", "Fallback", " plain ")]
+    assert got[6][0][3] == "Fallback" and got[7][0][1] == "9" and got[8][0][3] == "Fallback" and got[9] == [(0, None, "Fallback", "Fallback", "")] and 10 not in got
+    assert [x[1] for x in sorted(got[11])] == ["1", "2"] and got[12][0][3:] == ("Fallback", "nothing")
 
 
 def test_relational(spark):

@@ -49,3 +49,13 @@ def standardized(v: Column, mean: Column, std: Column) -> Column:
 def transformed(name: str, v: Column, mean: Column, std: Column) -> Column:
     """``center``, ``standardize`` or, for any other name, unchanged; case does not matter."""
     return {"center": lambda: centered(v, mean), "standardize": lambda: standardized(v, mean, std)}.get(name.lower(), lambda: v)()
+
+
+def alike(a: Column, b: Column, floor: float = 0.995) -> Column:
+    """Whether two vectors have at least a cosine of ``floor``."""
+    return cosine(a, b) >= floor
+
+
+def within(a: Column, b: Column, most: float) -> Column:
+    """Whether no component differs by more than ``most``."""
+    return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d <= most)

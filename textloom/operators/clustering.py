@@ -406,6 +406,15 @@ def flat_clusters(sections: DataFrame, pairs: DataFrame, threshold: float = M.ME
     return _by_document(sections, pairs, [], run, "doc_id string, pos int, label int")
 
 
+def flat_sweep(sections: DataFrame, pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(doc_id, tau, pos, label): the flat clusters at each threshold of the merge model."""
+
+    def run(doc: str, rows: pd.DataFrame, m: list[np.ndarray]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"doc_id": doc, "tau": t, "pos": rows["pos"], "label": flat_labels(*m, threshold=t)}) for t in thresholds])
+
+    return _by_document(sections, pairs, [], run, "doc_id string, tau double, pos int, label int")
+
+
 def concept_groups(sections: DataFrame, pairs: DataFrame, weight: float = 0.9, flat_most: float = 0.0) -> DataFrame:
     """(doc_id, route, group, members): the groups of every document, each by the path that its structure asks for.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import StringType
 
 
 def numbered(rows: DataFrame, hashed: str, order: list[str], name: str = "number") -> DataFrame:
@@ -99,3 +101,43 @@ def top_and_bottom(rows: DataFrame, keys: list[str], value: str, tie: str, n: in
     hi, lo = Window.partitionBy(*keys).orderBy(F.desc(value), tie), Window.partitionBy(*keys).orderBy(value, tie)
     r = rows.withColumn("_hi", F.row_number().over(hi)).withColumn("_lo", F.row_number().over(lo))
     return r.where((F.col("_hi") <= n) | (F.col("_lo") <= n)).withColumn("side", F.when(F.col("_hi") <= n, "top").otherwise("bottom")).drop("_hi", "_lo")
+
+
+def update(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``target`` where the rows that ``changes`` names by ``keys`` take its other columns; it adds no row."""
+    new = [c for c in changes.columns if c not in keys]
+    found = changes.select(*keys, F.struct(*new).alias("_new"))
+    rows = target.join(found, keys, "left")
+    return rows.select(*[F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) if c in new else F.col(c) for c in target.columns])
+
+
+def null_or_equal(fact: DataFrame, rule: DataFrame, on: list[str], optional: list[str]) -> DataFrame:
+    """Distinct pairs of ``fact`` and ``rule`` that agree on ``on`` and on each of ``optional`` that neither side leaves null."""
+    a, b = fact.alias("f"), rule.select(*on, *[F.col(c).alias(f"rule_{c}") for c in rule.columns if c not in on]).alias("r")
+    agree = F.lit(True)
+    for c in optional:
+        agree = agree & (F.col(f"f.{c}").isNull() | F.col(f"rule_{c}").isNull() | (F.col(f"f.{c}") == F.col(f"rule_{c}")))
+    return a.join(b, on).where(agree).distinct()
+
+
+def first_object(text: Column) -> Column:
+    """The first balanced ``{...}`` of a text, braces in strings aside; null if none is closed."""
+
+    def cut(text: str | None) -> str | None:
+        start = text.find("{") if text else -1
+        if start < 0:
+            return None
+        depth, quoted, escaped = 0, False, False
+        for i in range(start, len(text)):
+            c = text[i]
+            if quoted:
+                escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return text[start: i + 1]
+        return None
+
+    return F.pandas_udf(lambda texts: texts.map(cut), StringType(), PandasUDFType.SCALAR)(text)

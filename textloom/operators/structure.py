@@ -81,6 +81,44 @@ def route(content: str, label: str) -> Column:
     return F.when(f == "FormattedText", by_text).when(f == "Pdf", F.when(T.is_pdf(c), "Fallback").otherwise(by_text)).when(f == "FormattedXml", "GpoXml").otherwise("Fallback")
 
 
+_PARSED = ("section_index", "section_identifier", "kind", "content", "parent", "parser")
+
+
+def parse_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section_index, section_identifier, kind, content, parent, parser) of plain texts: cut at headings, else at
+    the clauses of what they resolve, else one Fallback section of the text as it is - blank texts too."""
+    c = F.col(text)
+    heading, resolved = F.regexp_like(c, F.lit(r"(?<![A-Za-z])" + T.HEADING)), F.regexp_like(c, F.lit(T.RESOLVED))
+    bill = parse_bill(df, key, text).withColumn("parent", F.lit(""))
+    rest = df.where(c.isNotNull() & ((T.trimmed(c) == "") | ~(heading | resolved)))
+    found = bill.unionByName(parse_resolution(df, key, text)).withColumn("parser", F.lit("GpoText"))
+    return found.unionByName(fallback(rest, key, text)).select(key, *_PARSED)
+
+
+def fallback(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Each text as one Fallback section, unchanged."""
+    return df.select(key, F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("section_identifier"), F.lit("Fallback").alias("kind"), F.col(text).alias("content"), F.lit("").alias("parent"), F.lit("Fallback").alias("parser"))
+
+
+def parse_document(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """The sections of every text, whatever its format: see ``parse_text`` for the columns.
+
+    XML is walked; a document without sections is parsed as its plain text, content that is no XML is one Fallback
+    section as it is. Texts, and PDF contents that are text already, are parsed as texts; binary PDF and other formats
+    are one Fallback section. Null texts have no section.
+    """
+    from ..sources.xml import walked
+
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("_text"), T.text_format(F.col(label)).alias("_format"))
+    is_text = (F.col("_format") == "FormattedText") | ((F.col("_format") == "Pdf") & ~T.is_pdf(F.col("_text")))
+    xml = walked(rows.where(F.col("_format") == "FormattedXml").select(key, "_text"), key, "_text")
+    out = xml.where("state = 'sections'").select(key, F.inline("sections")).withColumn("parser", F.lit("GpoXml"))
+    plain = xml.where("state = 'plain'").select(key, F.col("plain").alias("_text"))
+    texts = parse_text(rows.where(is_text).select(key, "_text").unionByName(plain), key, "_text")
+    whole = rows.where(~is_text & (F.col("_format") != "FormattedXml")).select(key, "_text").unionByName(xml.where("state = 'broken'").select(key, F.col("plain").alias("_text")))
+    return out.select(key, *_PARSED).unionByName(texts).unionByName(fallback(whole, key, "_text"))
+
+
 def hierarchy_markers(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, place, pos, level, marker): the hierarchy markers of a text; ``pos`` counts characters from 0."""
     parts = F.split(F.col(text), r"(?=" + T.MARKER + ")")

@@ -70,3 +70,77 @@ def through_origin(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFram
     g = rows.groupBy(*keys).agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(y) * F.col(y)).alias("yy"))
     safe = F.when((F.col("xx") != 0) & (F.col("yy") != 0), F.col("xx"))
     return g.select(*keys, F.coalesce(F.col("xy") / safe, F.lit(0.0)).alias("slope"), F.coalesce(F.col("xy") * F.col("xy") / (safe * F.when(F.col("yy") != 0, F.col("yy"))), F.lit(0.0)).alias("r2"))
+
+
+def _gram(cells: list) -> np.ndarray:
+    n = max(c["j"] for c in cells) + 1
+    m = np.zeros((n, n))
+    for c in cells:
+        m[c["i"], c["j"]] = m[c["j"], c["i"]] = c["value"]
+    return m
+
+
+def _solved(gram: np.ndarray, use: list[int]) -> np.ndarray:
+    """Coefficients (constant first) of the target on the features ``use`` (from 1), from X'X with the target last."""
+    at = [0, *use]
+    return np.linalg.lstsq(gram[np.ix_(at, at)], gram[at, -1], rcond=None)[0]
+
+
+def ols_search(rows: DataFrame, features: list[str], target: str, most: int = 3) -> list[tuple[tuple[str, ...], float]]:
+    """(features, R2) of every subset of up to ``most`` features, best first, smaller and earlier subsets first of equals.
+
+    The rows are read once, for X'X; every subset is solved from it.
+    """
+    from itertools import combinations
+
+    gram = _gram(normal_equations(rows, features, target).collect())  # as many cells as pairs of features
+    yy, mean = gram[-1, -1], gram[0, -1] ** 2 / max(gram[0, 0], 1.0)
+    out = []
+    for size in range(1, most + 1):
+        for use in combinations(range(1, len(features) + 1), size):
+            at = [0, *use]
+            fitted = float(_solved(gram, list(use)) @ gram[at, -1])
+            out.append((tuple(features[k - 1] for k in use), float((fitted - mean) / (yy - mean)) if yy > mean else 0.0))
+    return sorted(out, key=lambda x: (-round(x[1], 9), len(x[0])))
+
+
+def forward_selection(rows: DataFrame, features: list[str], target: str, fold: str, most: int | None = None) -> list[tuple[str, float]]:
+    """(feature, mean absolute error) in order of choice: each round adds the feature with the least cross-validated
+    error, while it falls. ``fold`` numbers the folds from 0.
+
+    X'X is one aggregate by fold; a fold's model is solved from the others' sum, and all candidates of a round are
+    judged in one pass.
+    """
+    cells = [(i, j) for i in range(len(features) + 2) for j in range(i, len(features) + 2)]
+    x = [F.lit(1.0), *[F.col(f) for f in features], F.col(target)]
+    sums = {r[fold]: _gram([{"i": i, "j": j, "value": r[f"c{k}"]} for k, (i, j) in enumerate(cells)]) for r in rows.groupBy(fold).agg(*[F.sum(x[i] * x[j]).alias(f"c{k}") for k, (i, j) in enumerate(cells)]).collect()}
+    whole = sum(sums.values())
+    chosen: list[int] = []
+    out: list[tuple[str, float]] = []
+    while len(chosen) < (most or len(features)):
+        trial = {}
+        for k in range(1, len(features) + 1):
+            if k not in chosen:
+                use = [*chosen, k]
+                error = F.lit(None).cast("double")
+                for f, own in sums.items():
+                    w = _solved(whole - own, use)
+                    guess = F.lit(float(w[0]))
+                    for c, j in zip(w[1:], use):
+                        guess = guess + F.lit(float(c)) * x[j]
+                    error = F.when(F.col(fold) == f, F.abs(F.col(target) - guess)).otherwise(error)
+                trial[k] = F.avg(error).alias(f"e{k}")
+        errors = rows.agg(*trial.values()).first()
+        best = min(trial, key=lambda k: (errors[f"e{k}"], k))
+        if out and errors[f"e{best}"] >= out[-1][1]:
+            break
+        chosen.append(best)
+        out.append((features[best - 1], errors[f"e{best}"]))
+    return out
+
+
+def floored_log_fit(rows: DataFrame, x: str, y: str, floor: float) -> DataFrame:
+    """``rows`` with ``fitted``: a + b ln(max(1, x)) by least squares, at least ``floor``."""
+    line = linear(rows.select(F.ln(F.greatest(F.lit(1.0), F.col(x))).alias("_x"), F.col(y).alias("_y")), [], "_x", "_y").select("intercept", "slope")
+    fitted = F.greatest(F.lit(floor), F.col("intercept") + F.col("slope") * F.ln(F.greatest(F.lit(1.0), F.col(x))))
+    return rows.crossJoin(F.broadcast(line)).withColumn("fitted", fitted).drop("intercept", "slope")

@@ -95,8 +95,8 @@ def is_resolution(t: Table) -> DataFrame:
     return t("raw_bill_text").select("id", (~F.regexp_like(c, F.lit(r"(?<![A-Za-z])" + T.HEADING)) & F.regexp_like(c, F.lit(T.RESOLVED))).alias("is_resolution"))
 
 
-@query(f"""
-    WITH r AS (
+_RESOLUTION = f"""
+    r AS (
         SELECT id, {trim("substr(content, 1, p - 1)")} AS pre, substr(content, p) AS rest, amends FROM (
             SELECT id, content, regexp_matches(content, '(?i)amendment to the Constitution') AS amends,
                    strpos(regexp_replace(content, '(^|[^A-Za-z])Resolved', '\\1' || chr(1) || 'Resolved'), chr(1)) AS p
@@ -105,12 +105,17 @@ def is_resolution(t: Table) -> DataFrame:
         SELECT id, pre, rest, amends, CASE WHEN amends THEN {_cut('rest', r'(^|[^A-Za-z])(Section\s+\d+[A-Za-z]?\.)')} ELSE {_cut('rest', r'(^|[^A-Za-z0-9])(\(\d+\))')} END AS parts FROM r),
     c AS (
         SELECT id, pre, amends, len(parts) > 1 AS many, {trim('parts[1]')} AS lead, unnest(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE [rest] END) AS part,
-               generate_subscripts(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE [rest] END, 1) - 1 AS place FROM s)
+               generate_subscripts(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE [rest] END, 1) - 1 AS place FROM s),
+    resolution AS (
     SELECT id, 0 AS section_index, NULL AS section_identifier, 'Fallback' AS kind, pre AS content, '' AS parent FROM r WHERE pre <> ''
     UNION ALL
     SELECT id, CAST(place + CASE WHEN pre <> '' THEN 1 ELSE 0 END AS INTEGER),
            CASE WHEN many THEN CASE WHEN amends THEN regexp_extract(part, '^Section\\s+(\\d+[A-Za-z]?)\\.', 1) ELSE regexp_extract(part, '^\\((\\d+)\\)', 1) END END,
-           'Section', {trim('part')}, CASE WHEN many THEN lead ELSE '' END FROM c""")
+           'Section', {trim('part')}, CASE WHEN many THEN lead ELSE '' END FROM c)
+"""
+
+
+@query(f"WITH {_RESOLUTION} SELECT * FROM resolution")
 def resolution_clauses(t: Table) -> DataFrame:
     return S.parse_resolution(t("raw_bill_text"), "id", "content")
 
@@ -192,3 +197,26 @@ def parse_quality(t: Table) -> DataFrame:
         F.count("*").alias("units"), F.round(F.avg(F.when(F.col("kind") == "Section", F.regexp_like("content", F.lit(r"^(?:SECTION|SEC\.)")).cast("double"))), 6).alias("aligned"),
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.coalesce(F.count_distinct("n") == F.max("n") - F.min("n") + 1, F.lit(False)).alias("contiguous"),
     )
+
+
+_DOCUMENT = f"""WITH {_BILL}, {_RESOLUTION},
+    f AS (SELECT r.id, r.content, {_FORMAT.format('v.format_type')} AS format, {_ROUTE.replace('f.format_type', 'v.format_type')} AS parser FROM raw_bill_text r JOIN bill_text_versions v ON v.id = r.version_id WHERE {_FORMAT.format('v.format_type')} <> 'FormattedXml')
+    SELECT f.id, CAST(b.section_index AS INTEGER) AS section_index, b.section_identifier, b.kind, b.content, '' AS parent, f.parser FROM f JOIN bill b USING (id) WHERE f.parser = 'GpoText'
+    UNION ALL SELECT f.id, x.section_index, x.section_identifier, x.kind, x.content, x.parent, f.parser FROM f JOIN resolution x USING (id) WHERE f.parser = 'GpoText'
+    UNION ALL SELECT id, 0, NULL, 'Fallback', content, '', parser FROM f WHERE parser = 'Fallback'"""
+
+
+def _formatted(t: Table) -> DataFrame:
+    return t("raw_bill_text").join(t("bill_text_versions").select(F.col("id").alias("version_id"), "format_type"), "version_id")
+
+
+@query(_DOCUMENT)
+def parse_texts(t: Table) -> DataFrame:
+    """The whole router over the texts of all formats but XML, which SQL can't walk."""
+    return S.parse_document(_formatted(t).where(T.text_format(F.col("format_type")) != "FormattedXml"), "id", "content", "format_type")
+
+
+@query()
+def parse_document(t: Table) -> DataFrame:
+    """The sections of every text by the whole router."""
+    return S.parse_document(_formatted(t), "id", "content", "format_type")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import clustering, dense, lexical, metrics, registry, relational, retrieval, structure, training  # noqa: F401
+from .plans import clustering, dense, lexical, lifecycle, metrics, registry, relational, retrieval, structure, training  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

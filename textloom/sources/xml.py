@@ -70,3 +70,24 @@ def parse_xml(df: DataFrame, key: str, text: str) -> DataFrame:
             yield frame
 
     return rows.mapInPandas(run, f"key {rows.dtypes[0][1]}, {SCHEMA}").withColumnRenamed("key", key)
+
+
+def walked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, state, plain, sections): ``sections`` of a document that has some, else its ``plain`` text, or the ``broken`` content as it is."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, content in zip(batch["key"], batch["text"]):
+                try:
+                    found = [{"section_index": i, "section_identifier": n, "kind": kind, "content": body, "parent": path[-1] if path else ""} for i, (n, _, kind, body, path) in enumerate(sections(content))]
+                    out.append((k, "sections", None, found))
+                except ElementTree.ParseError:
+                    out.append((k, "broken", content, None))
+                except ValueError:
+                    out.append((k, "plain", plain_text(content), None))
+            yield pd.DataFrame(out, columns=["key", "state", "plain", "sections"])
+
+    section = "array<struct<section_index int, section_identifier string, kind string, content string, parent string>>"
+    return rows.mapInPandas(run, f"key {rows.dtypes[0][1]}, state string, plain string, sections {section}").withColumnRenamed("key", key)
