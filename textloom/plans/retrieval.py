@@ -126,3 +126,74 @@ def unit_builders(t: Table) -> DataFrame:
     out = out.unionByName(s.select(F.lit("section").alias("kind"), F.col("id").cast("string").alias("unit"), F.lit(1).cast("long").alias("members")))
     label = g.select("version_id", "label").join(s.select("version_id", F.col("id").alias("sid")), "version_id").groupBy(F.col("label").alias("unit")).agg(F.count_distinct("sid").alias("members"))
     return out.unionByName(label.withColumn("kind", F.lit("label")))
+
+
+#: four kinds of units over the whole collection: concept groups, documents, sections, and subjects that span documents
+_COLLECTION = f"""{_SQL.rstrip()},
+    un AS (SELECT DISTINCT 'group' AS kind, CAST(g.id AS VARCHAR) AS unit, x.item FROM (SELECT id, unnest(member_section_ids) AS item FROM bill_concept_groups) g JOIN x ON x.item = g.item
+        UNION ALL SELECT 'document', CAST(version_id AS VARCHAR), item FROM x UNION ALL SELECT 'section', CAST(item AS VARCHAR), item FROM x
+        UNION ALL SELECT DISTINCT 'subject', label, item FROM bill_concept_groups JOIN x USING (version_id)),
+    al AS (SELECT q, item, {B.COS.format('qv', 'v')} AS score FROM q, x),
+    um AS (SELECT kind, unit, list(m ORDER BY i) AS c FROM (SELECT kind, unit, i, avg(v[i]) AS m FROM un JOIN x USING (item), range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL),
+    us AS (SELECT 'mean' AS pooling, kind, unit, q, {B.COS.format('qv', 'c')} AS score FROM q, um UNION ALL SELECT 'max', kind, unit, q, max(score) FROM un JOIN al USING (item) GROUP BY ALL),
+    ul AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pooling, kind, q ORDER BY round(score, 9) DESC, unit) AS rank FROM us) WHERE rank <= 10),
+    ue AS (SELECT pooling, kind, q, item, row_number() OVER (PARTITION BY pooling, kind, q ORDER BY ur, round(score, 9) DESC, item) AS rank FROM (SELECT pooling, kind, q, item, min(ul.rank) AS ur, max(al.score) AS score FROM ul JOIN un USING (kind, unit) JOIN al USING (q, item) GROUP BY ALL))
+"""
+
+
+def _collection(t: Table) -> DataFrame:
+    """(kind, unit, item, v) of the four kinds of units."""
+    x, g = _inputs(t)[1].select("item", "version_id", "v"), t("bill_concept_groups")
+    named = lambda df, kind, unit: df.select(F.lit(kind).alias("kind"), unit.cast("string").alias("unit"), "item", "v")
+    groups = g.select("id", F.explode(F.array_distinct("member_section_ids")).alias("item")).join(x, "item")
+    subjects = g.select("version_id", "label").distinct().join(x, "version_id").dropDuplicates(["label", "item"])
+    return named(groups, "group", F.col("id")).unionByName(named(x, "document", F.col("version_id"))).unionByName(named(x, "section", F.col("item"))).unionByName(named(subjects, "subject", F.col("label")))
+
+
+def _searched(t: Table) -> DataFrame:
+    q, members = _inputs(t)[0], _collection(t)
+    return R.search_units(q, members, "mean", B.DIM).withColumn("pooling", F.lit("mean")).unionByName(R.search_units(q, members, "max", B.DIM).withColumn("pooling", F.lit("max")))
+
+
+@query(f"{_COLLECTION} SELECT pooling, kind, q, unit, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ul")
+def search_collection(t: Table) -> DataFrame:
+    """The ten best units of each kind and pooling for each query, over all documents."""
+    return _searched(t).select("pooling", "kind", "q", "unit", "rank", B.r6(F.col("score"), "score"))
+
+
+@query(f"{_COLLECTION} SELECT q, CAST(unit AS BIGINT) AS neighbour, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ul WHERE kind = 'section' AND pooling = 'max' AND rank <= 5")
+def knn_collection(t: Table) -> DataFrame:
+    """The five most similar sections of the whole collection for each query."""
+    q, members = _inputs(t)[0], _collection(t).where("kind = 'section'")
+    return R.search_units(q, members, "max", B.DIM, 5).select("q", F.col("unit").cast("long").alias("neighbour"), "rank", B.r6(F.col("score"), "score"))
+
+
+@query(f"""{_COLLECTION}, h AS (SELECT pooling, kind, ue.q, rank FROM ue JOIN rel USING (q, item)), kp AS (SELECT DISTINCT pooling, kind FROM ul),
+    sco AS (SELECT kp.pooling, kp.kind, n.q, max(n.n) AS n, coalesce(max(1.0 / h.rank), 0) AS rr, count(*) FILTER (WHERE h.rank <= 5) / 5.0 AS p5, count(*) FILTER (WHERE h.rank <= n.n) * 1.0 / max(n.n) AS rp, count(*) FILTER (WHERE h.rank <= 10) * 1.0 / max(n.n) AS rc,
+        coalesce(sum(ln(2) / ln(1 + h.rank)) FILTER (WHERE h.rank <= 10), 0) / list_sum(list_transform(range(1, least(max(n.n), 10) + 1), lambda i: ln(2) / ln(1 + i))) AS nd
+        FROM kp CROSS JOIN n LEFT JOIN h ON h.q = n.q AND h.kind = kp.kind AND h.pooling = kp.pooling GROUP BY ALL)
+    SELECT kind, pooling, count(*) AS queries, round(avg(rr), 6) AS mrr, round(avg(p5), 6) AS precision_at_5, round(avg(rp), 6) AS r_precision, round(avg(rc), 6) AS recall_at_10, round(avg(nd), 6) AS ndcg, count(*) FILTER (WHERE n > 1) AS multi_queries, round(avg(rr) FILTER (WHERE n > 1), 6) AS multi_mrr
+    FROM sco GROUP BY kind, pooling""")
+def retrieval_methods(t: Table) -> DataFrame:
+    """Scores of the four kinds of units and two poolings over the whole collection, for all queries and those with several relevant sections."""
+    q, members = _inputs(t)[0], _collection(t)
+    ranked = R.expand_units(_searched(t), q, members, ["kind", "pooling"])
+    rel = _inputs(t)[2]
+    # a query is one of each method, so that one pass scores them all
+    name = F.concat_ws("/", "kind", "pooling")
+    methods = [f"{k}/{p}" for k in ("group", "document", "section", "subject") for p in ("mean", "max")]
+    asked = rel.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))).select(F.struct("method", "q").alias("q"), "item")
+    rows = R.scores(ranked.select(F.struct(name.alias("method"), "q").alias("q"), "item", "rank"), asked).withColumn("method", F.col("q.method"))
+    many = F.col("n") > 1
+    return rows.groupBy(F.split_part("method", F.lit("/"), F.lit(1)).alias("kind"), F.split_part("method", F.lit("/"), F.lit(2)).alias("pooling")).agg(
+        F.count("*").alias("queries"), B.r6(F.avg("rr"), "mrr"), B.r6(F.avg("precision"), "precision_at_5"), B.r6(F.avg("r_precision"), "r_precision"), B.r6(F.avg("recall"), "recall_at_10"), B.r6(F.avg("ndcg"), "ndcg"),
+        F.count_if(many).alias("multi_queries"), B.r6(F.avg(F.when(many, F.col("rr"))), "multi_mrr"),
+    )
+
+
+@query(f"{_COLLECTION} SELECT q, item, round(sum(1.0 / (60 + rank)), 6) AS score FROM ue WHERE pooling = 'max' GROUP BY q, item")
+def fuse_methods(t: Table) -> DataFrame:
+    """Reciprocal rank fusion of the four kinds of units."""
+    q, members = _inputs(t)[0], _collection(t)
+    ranked = R.expand_units(R.search_units(q, members, "max", B.DIM), q, members, ["kind"])
+    return ranked.groupBy("q", "item").agg(B.r6(F.sum(1 / (60 + F.col("rank"))), "score"))
