@@ -63,10 +63,13 @@ def nesting_level(marker: Column) -> Column:
     return out
 
 
+#: A run of three letters and more that is no stopword; one pattern, so that no word is compared with a list.
+_UNIGRAM = "(?<![a-z])(?!(?:" + "|".join(STOPWORDS) + ")(?![a-z]))[a-z]{3,}"
+
+
 def unigrams(c: Column) -> Column:
     """Lower-case words of three letters and more without the stopwords, in order."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
+    return F.regexp_extract_all(F.lower(c), F.lit(_UNIGRAM), F.lit(0))
 
 
 def bigrams_of(words: Column) -> Column:

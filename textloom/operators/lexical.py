@@ -56,6 +56,8 @@ def sparse_cosine(weights: DataFrame, doc: str) -> DataFrame:
 
 def bm25(tf: DataFrame, keys: list[str], query_terms: DataFrame, total: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(q, keys..., score) of sections that hold a term of the query (q, term); ``total`` is one row (n, mean_length)."""
+    # only the postings of the queries' terms are counted and met
+    tf = tf.join(query_terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hits = query_terms.join(tf, "term").join(df, "term").crossJoin(F.broadcast(total))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import dense, lexical
+from ..workspace import width, written
 from .registry import Table
 
 DIM = 64
@@ -56,15 +57,17 @@ def section_pairs(t: Table, *columns: str) -> DataFrame:
     return dense.document_pairs(sections(t), "doc_id", list(columns) or ["section_id", "v"])
 
 
-def frequencies(t: Table) -> DataFrame:
-    """The terms of each section."""
-    return lexical.term_frequency(sections(t), ["section_id", "doc_id", "pos"], "text")
+def frequencies(t: Table, rows: DataFrame | None = None) -> DataFrame:
+    """The terms of each section, as a table in the shared folder: texts are tokenised once, by all tasks, however often it is read."""
+    rows = (sections(t) if rows is None else rows).select("section_id", "doc_id", "pos", "text")
+    rows = rows.repartition(width(rows.sparkSession), "section_id")
+    return written(lexical.term_frequency(rows, ["section_id", "doc_id", "pos"], "text"), "terms")[0]
 
 
-def weights(t: Table) -> DataFrame:
+def weights(t: Table, rows: DataFrame | None = None) -> DataFrame:
     """The terms of each section with their TF-IDF weight."""
-    total = sections(t).agg(F.count("*").alias("n"))
-    tf = frequencies(t)
+    total = (sections(t) if rows is None else rows).agg(F.count("*").alias("n"))
+    tf = frequencies(t, rows)
     return lexical.tfidf(tf, lexical.train_idf(tf, total))
 
 

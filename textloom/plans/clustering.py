@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..operators import clustering as C
 from ..operators import dense as D
 from ..operators import lexical as L
+from ..workspace import written
 from . import base as B
 from .lexical import _TFCOS, _cites
 from .registry import Table, query
@@ -109,9 +110,9 @@ _AFFINITY = Mo.AFFINITY.sql("emb", "tf_", "top", "cite", "posn")
 
 def pair_features_of(t: Table) -> DataFrame:
     """(doc_id, n, i, j, emb_cos, tfidf_cos, topterm_jaccard, cite_jaccard, position, affinity) of each document's pairs."""
-    rows = B.sections(t)
+    rows, _ = written(B.sections(t), "sections")
     stats = D.mean_std(rows, "v", B.DIM)
-    w = B.weights(t)
+    w = B.weights(t, rows)
     top = L.top_terms(w, ["section_id"], Mo.TOP_TERMS).groupBy("section_id").agg(F.collect_list("term").alias("terms"))
     rows = rows.crossJoin(F.broadcast(stats)).withColumn("z", V.standardized(F.col("v"), F.col("mean"), F.col("std")))
     rows = rows.join(top, "section_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).withColumn("cites", T.citations(F.col("text")))
