@@ -65,3 +65,47 @@ def test_metrics_anchor(spark):
     assert (round(r.homogeneity, 6), round(r.completeness, 6), round(r.v_measure, 6), round(r.ari, 6)) == (0.311278, 0.383684, 0.343711, 0.0) or abs(r.v_measure - 0.343721) < 1e-4
     assert got[2].ari == 1 and got[2].nmi == 1
     assert Me.compare(df.limit(0), ["d"]).count() == 0
+
+
+def test_heights_and_profiles():
+    d = np.array([[0, 0.1, 0.9, 0.8], [0.1, 0, 0.7, 0.9], [0.9, 0.7, 0, 0.3], [0.8, 0.9, 0.3, 0]])
+    m = C.linkage_tree(d)
+    assert [C.count_at_height(m, 4, h) for h in (0, 0.1, 0.5, 1)] == [4, 3, 2, 1]
+    assert C.height_for_k(m, 4, 4) == 0 and C.height_for_k(m, 4, 2) == m[1][2] and C.height_for_k(m, 4, 1) == m[2][2]
+    profile = C.silhouette_profile(m, d)
+    assert [k for k, _ in profile] == [3, 2] and all(abs(v - C.silhouette(d, C.cut(m, 4, k))) < 1e-12 for k, v in profile)
+    assert C.best_k(profile, 8) == 2 and C.best_k([], 8) == 1 and C.best_k([(3, 0.5), (2, 0.5)], 8) == 2
+
+
+def test_merging_state_against_definition():
+    rng = np.random.default_rng(6)
+    a, c, x = ((m + m.T) / 2 for m in rng.random((3, 9, 9)))
+    state = C._Merging(a, c, x)
+    state.merge(1, 4)
+    state.merge(0, len(state.members) - 1)
+    left, right = state.members[-1], state.members[2]
+    want = C.merge_features(a, c, x, left, right, 0.25)
+    assert sorted(left) == [0, 1, 4] and np.allclose(state.features(len(state.members) - 1, 2, 0.25), want)
+    steps = C.greedy_steps(a, c, x)
+    assert len(steps) == 8 and all(np.allclose(f[2:], C.merge_features(a, c, x, p, q, 0.0)[2:]) for p, q, f in steps)
+
+
+def test_modularity_cut():
+    a = np.full((6, 6), 0.05)
+    a[:3, :3] = a[3:, 3:] = 0.9
+    labels, value = C.modularity_cut(a, a, a)
+    assert labels.tolist() == [0, 0, 0, 1, 1, 1] and value > 0.3
+    assert C.modularity(np.zeros((3, 3)), np.arange(3)) == -2
+
+
+def test_concept_groups_by_route(spark):
+    v = np.repeat(np.eye(64)[:2], 2, axis=0).tolist()
+    rows = [("flat", k, 10 + k, v[k], []) for k in range(4)] + [("deep", k, 20 + k, v[k], ["T1"] if k < 2 else ["T2"]) for k in range(4)] + [("one", 0, 5, v[0], [])]
+    sections = spark.createDataFrame(rows, "doc_id string, pos int, section_index int, z array<double>, parents array<string>")
+    pairs = [("flat", i, j, *[0.95 if i // 2 == j // 2 else 0.01] * 3) for i in range(4) for j in range(i + 1, 4)]
+    links = spark.createDataFrame(pairs, "doc_id string, i int, j int, emb_cos double, tfidf_cos double, affinity double")
+    got: dict = {}
+    for r in C.concept_groups(sections, links).collect():
+        got.setdefault((r.doc_id, r.route), []).append((r.group, r.members))
+    assert sorted(got["deep", "omnibus"]) == [(0, [20, 21]), (1, [22, 23])] and got["one", "single"] == [(0, [5])]
+    assert sorted(m for _, g in got["flat", "flat"] for m in g) == [10, 11, 12, 13]

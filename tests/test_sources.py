@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,87 @@ def test_training(spark):
     assert m["w"][0] > 0
     flat = T.linear(rows.withColumn("x", F.lit(1.0)), [], "x", "t").first()
     assert flat.slope == 0 and flat.r2 == 0
+
+
+def test_settings(tmp_path):
+    from textloom.sources.settings import Settings, run_arguments
+
+    (tmp_path / "s.json").write_text('{"source": "a", "batch": 5, "max_words": 9}')
+    got = Settings.loaded(str(tmp_path / "s.json"), {"TEXTLOOM_BATCH": "7", "TEXTLOOM_MAX_WORDS": "8", "HOME": "x", "TEXTLOOM_TOKENIZERS": "y"}, {"batch": 6, "target": None})
+    assert (got.source, got.batch, got.max_words, got.overlap_words) == ("a", 6, 8, 50)
+    with pytest.raises(ValueError, match="wrong"):
+        Settings.loaded(arguments={"wrong": 1})
+    with pytest.raises(ValueError, match="batch"):
+        Settings.loaded(environment={"TEXTLOOM_BATCH": "many"})
+    assert run_arguments(["4", "5"]) == (4, 5, None) and run_arguments(["4", "5", "f"])[2] == "f"
+    with pytest.raises(SystemExit):
+        run_arguments(["4", "x"])
+
+
+def test_golden(tmp_path):
+    from textloom.sources import golden
+
+    path = str(tmp_path / "g" / "a.json")
+    with pytest.raises(AssertionError, match="missing"):
+        golden.check(path, {"b": [1], "a": "é"})
+    golden.check(path, {"b": [1], "a": "é"}, update=True)
+    golden.check(path, {"a": "é", "b": [1]})
+    with pytest.raises(AssertionError, match="line 2"):
+        golden.check(path, {"a": "e", "b": [1]})
+
+
+def test_run_store(spark, tmp_path):
+    from textloom.sources.store import RunStore, decomposition
+
+    groups = spark.createDataFrame([(0, 7, "x", [1, 2, 2]), (1, 7, "y", [])], "group int, version_id long, label string, members array<long>")
+    topics = spark.createDataFrame([(0, 7, "p"), (0, 7, "q")], "group int, version_id long, phrase string")
+    store = RunStore(spark, f"file://{tmp_path}/store")
+    for _ in range(2):  # saved again, it is the same
+        store.save(3, decomposition(groups, topics))
+        assert [store.read(3, t).count() for t in ("groups", "topics", "members")] == [2, 2, 2]
+    assert len(list((tmp_path / "store" / "stage").iterdir())) == 1
+    with pytest.raises(KeyError):
+        store.read(4, "groups")
+
+
+def test_cached_embeddings(spark, tmp_path):
+    from textloom.sources import files
+
+    model = lambda texts: [[float(len(t))] for t in texts]
+    df = spark.createDataFrame([(1, "ab"), (2, "c"), (2, "c")], "id long, text string")
+    path = f"file://{tmp_path}/cache"
+    assert files.cached_embeddings(df, "id", "text", model, path).count() == 2
+    more = files.cached_embeddings(df.unionByName(spark.createDataFrame([(3, "abc")], df.schema)), "id", "text", lambda texts: [[9.0] for _ in texts], path)
+    assert {r.id: r.embedding[0] for r in more.collect()} == {1: 2.0, 2: 1.0, 3: 9.0}
+    with pytest.raises(ValueError, match="rows"):
+        files.markdown_table(df, most=2)
+
+
+def test_update_and_lookup(spark):
+    from textloom.operators import relational as R
+
+    a = spark.createDataFrame([(1, "x", None), (2, "y", "z")], "id int, status string, note string")
+    b = spark.createDataFrame([(1, "done"), (9, "new")], "id int, status string")
+    assert sorted(tuple(r) for r in R.update(a, b, ["id"]).collect()) == [(1, "done", None), (2, "y", "z")]
+    rules = spark.createDataFrame([(2, None), (2, "q"), (1, "k")], "id int, note string")
+    assert sorted((r.id, r.rule_note) for r in R.null_or_equal(a, rules, ["id"], ["note"]).collect()) == [(1, "k"), (2, None)]
+    texts = spark.createDataFrame([('a {"b": "}{", "c": {"d": "\\\\"}} x {}',), ("{ open",), (None,), ("none",)], "t string")
+    assert [r[0] for r in texts.select(R.first_object(texts["t"])).collect()] == ['{"b": "}{", "c": {"d": "\\\\"}}', None, None, None]
+
+
+def test_searches_of_features(spark):
+    from textloom.operators import training as Tr
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3))
+    y = 2 * x[:, 1] - x[:, 0] + 0.1 * rng.normal(size=200)
+    rows = spark.createDataFrame([(*map(float, r), float(v), k % 4) for k, (r, v) in enumerate(zip(x, y))], "a double, b double, c double, y double, fold int")
+    best = dict(Tr.ols_search(rows, ["a", "b", "c"], "y", 2))
+    for use, r2 in best.items():
+        m = np.column_stack([np.ones(200), *[x[:, "abc".index(f)] for f in use]])
+        e = y - m @ np.linalg.lstsq(m, y, rcond=None)[0]
+        assert abs(r2 - (1 - e @ e / ((y - y.mean()) @ (y - y.mean())))) < 1e-9
+    steps = Tr.forward_selection(rows, ["a", "b", "c"], "y", "fold")
+    assert [f for f, _ in steps[:2]] == ["b", "a"] and steps[1][1] < 0.1
+    fitted = Tr.floored_log_fit(spark.createDataFrame([(1.0, 0.0), (np.e, 1.0), (0.0, 0.0)], "x double, y double"), "x", "y", 0.3).collect()
+    assert sorted(round(r.fitted, 6) for r in fitted) == [0.3, 0.3, 1.0]

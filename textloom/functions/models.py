@@ -19,6 +19,8 @@ class Logistic:
     bias: float
     means: tuple[float, ...]
     deviations: tuple[float, ...]
+    threshold: float | None = None
+    top_terms: int | None = None
 
     def __post_init__(self) -> None:
         if not len(self.features) == len(self.weights) == len(self.means) == len(self.deviations):
@@ -52,7 +54,7 @@ class Logistic:
         for name in ("featureNames", "w", "b", "mu", "sd"):
             if name not in data:
                 raise ValueError(f"model: missing field {name}")
-        return cls(tuple(data["featureNames"]), tuple(map(float, data["w"])), float(data["b"]), tuple(map(float, data["mu"])), tuple(map(float, data["sd"])))
+        return cls(tuple(data["featureNames"]), tuple(map(float, data["w"])), float(data["b"]), tuple(map(float, data["mu"])), tuple(map(float, data["sd"])), data.get("tau"), data.get("topTermCount"))
 
 
 # The trained models' parameters.

@@ -18,10 +18,11 @@ NAMED_ACT = r"([A-Z][A-Za-z']+(?:\s+[A-Z][A-Za-z']+){0,5})\s+Act\s+of\s+(\d{4})"
 
 # Words that are no terms.
 STOPWORDS = (
-    "the a an and or of to in for on by with as at from is are be shall may not this that such any section sec subsection paragraph "
-    "subparagraph clause act code title united states public law amended amend following under pursuant chapter part subtitle provided "
-    "including include means term house senate congress bill resolution date effective whoever person rule"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "by", "with", "as", "at", "from", "is", "are", "be", "shall", "may", "not", "this",
+    "that", "such", "any", "section", "sec", "subsection", "paragraph", "subparagraph", "clause", "act", "code", "title", "united", "states",
+    "public", "law", "amended", "amend", "following", "under", "pursuant", "chapter", "part", "subtitle", "provided", "including", "include", "means",
+    "term", "house", "senate", "congress", "bill", "resolution", "date", "effective", "whoever", "person", "rule",
+)
 
 #: The labels of a stored format, each by its name.
 FORMATS = {"formatted xml": "FormattedXml", "formatted text": "FormattedText", "pdf": "Pdf"}

@@ -59,7 +59,7 @@ def parse_resolution(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.where(~F.regexp_like(c, F.lit(r"(?<![A-Za-z])" + T.HEADING)) & F.regexp_like(c, F.lit(T.RESOLVED)))
     at = F.regexp_instr(c, F.lit(T.RESOLVED))
     rows = rows.select(key, T.trimmed(F.substring(c, F.lit(1), at - 1)).alias("before"), c.substr(at, F.char_length(c)).alias("rest"), F.regexp_like(c, F.lit(T.AMENDMENT)).alias("amends"))
-    parts = F.when(F.col("amends"), F.split("rest", r"(?=(?<![A-Za-z])Section\s+\d+[A-Za-z]?\.)")).otherwise(F.split("rest", r"(?=(?<![A-Za-z0-9])\(\d+\))"))
+    parts = F.when(F.col("amends"), F.split("rest", f"(?={T.AMENDMENT_SECTION})")).otherwise(F.split("rest", f"(?={T.CLAUSE})"))
     rows = rows.withColumn("parts", parts).withColumn("lead", T.trimmed(F.col("parts")[0]))
     many = F.size("parts") > 1
     tail = F.when(many, F.slice("parts", F.lit(2), F.size("parts") - 1)).otherwise(F.array("rest"))
@@ -67,7 +67,7 @@ def parse_resolution(df: DataFrame, key: str, text: str) -> DataFrame:
     shift = F.when(F.col("before") != "", 1).otherwise(0)
     many = F.col("many")
     clauses = out.select(
-        key, (F.col("place") + shift).alias("section_index"), F.when(many, F.when(F.col("amends"), F.regexp_extract("part", r"^Section\s+(\d+[A-Za-z]?)\.", 1)).otherwise(F.regexp_extract("part", r"^\((\d+)\)", 1))).alias("section_identifier"),
+        key, (F.col("place") + shift).alias("section_index"), F.when(many, F.when(F.col("amends"), F.regexp_extract("part", "^" + T.AMENDMENT_SECTION, 1)).otherwise(F.regexp_extract("part", "^" + T.CLAUSE, 1))).alias("section_identifier"),
         F.lit("Section").alias("kind"), T.trimmed(F.col("part")).alias("content"), F.when(many & (F.col("lead") != ""), F.col("lead")).otherwise(F.lit("")).alias("parent"),
     )
     head = rows.where("before <> ''").select(key, F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("section_identifier"), F.lit("Fallback").alias("kind"), F.col("before").alias("content"), F.lit("").alias("parent"))

@@ -9,10 +9,8 @@ from ..operators import lexical as L
 from . import base as B
 from .registry import Table, query
 
-_USC = r"(\d{1,2})\s*U\.?\s?S\.?\s?C\.?\s*(?:§+\s?)?(\d+[A-Za-z0-9]*)"
-_USC2 = r"(\d{1,2})\s+U\.?\s?S\.?\s?C\.?\s?(?:§+\s?)?(\d+[A-Za-z0-9]*)"
-_PL = r"[Pp]ub(?:lic)?\.?\s?L(?:aw)?\.?\s?(\d{1,3}[-–]\d{1,4})"
-_ACT = r"([A-Z][A-Za-z'']+(?:\s+[A-Z][A-Za-z'']+){0,5})\s+Act\s+of\s+(\d{4})"
+_USC, _USC2, _PL = T.US_CODE, T.US_CODE_SPACED, T.PUBLIC_LAW
+_ACT = T.NAMED_ACT.replace("'", "''")  # quoted for SQL
 
 
 def _cites(x: str, strict: bool) -> str:

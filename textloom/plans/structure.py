@@ -9,8 +9,9 @@ from ..operators import structure as S
 from .registry import Table, query
 
 _TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
-_HEAD = r"(^|[^A-Za-z])((?:SECTION|SEC\.)\s+\d+[A-Za-z]?\.)"
-_MARK = r"(^|[^A-Za-z])(DIVISION\s+(?:[IVXLC]+|[0-9]+|[A-Z])|TITLE\s+(?:[IVXLC]+|[0-9]+)|Subtitle\s+[A-Z]|PART\s+(?:[IVXLC]+|[0-9]+|[A-Z])|CHAPTER\s+(?:[IVXLC]+|[0-9]+|[A-Z]))"
+#: the fixed patterns for SQL, which looks behind nothing: the sign before is a group of its own
+_HEAD = "(^|[^A-Za-z])(" + T.HEADING.replace(r"(\d+[A-Za-z]?)", r"\d+[A-Za-z]?") + ")"
+_MARK = T.MARKER.replace("(?<![A-Za-z])", "(^|[^A-Za-z])")
 _FORMAT = "CASE lower(trim({0})) WHEN 'formatted xml' THEN 'FormattedXml' WHEN 'formatted text' THEN 'FormattedText' WHEN 'pdf' THEN 'Pdf' ELSE 'Other' END"
 
 

@@ -86,6 +86,11 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: in
     return r.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 1000, **options: str) -> None:
+    """Rows appended to a table, in batches by every task."""
+    df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
+
+
 def stats_artifact(path: str, dim: int) -> tuple[list[float], list[float]]:
     """(mean, std) of a statistics artifact, dimensions checked."""
     try:
@@ -106,10 +111,13 @@ def idf_artifact(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("idf").alias("term", "idf"))
 
 
-def markdown_table(df: DataFrame, digits: int = 3) -> str:
-    """A small result as a Markdown table; it is brought to the driver."""
+def markdown_table(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A small result as a Markdown table; it is brought to the driver, so more than ``most`` rows are an error."""
     show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in df.collect()]]
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    rows = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in found]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
@@ -127,9 +135,19 @@ def check_schema(df: DataFrame, expected: dict[str, tuple[str, bool]]) -> list[s
     return out
 
 
-def embed(df: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 64, most: int = 4000) -> DataFrame:
-    """(key, embedding) by a pluggable model, ``batch`` texts at a time, the first ``most`` characters of each as the model takes them."""
-    rows = df.select(F.col(key).alias("key"), F.substring(F.col(text), 1, most).alias("text"))
+def cached_embeddings(df: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], path: str) -> DataFrame:
+    """(key, embedding) of every row, read from the table at ``path`` where it is there; the rest is computed once and added."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    missing = df.join(spark.read.parquet(path).select(key), key, "left_anti") if there else df
+    embed(missing.dropDuplicates([key]), key, text, model).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(df.select(key).distinct(), key, "left_semi")
+
+
+def embed(df: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 64, most: int | None = 4000) -> DataFrame:
+    """(key, embedding) by a pluggable model, ``batch`` texts at a time, the first ``most`` characters of each as the model takes them; None for all."""
+    rows = df.select(F.col(key).alias("key"), (F.substring(F.col(text), 1, most) if most else F.col(text)).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
