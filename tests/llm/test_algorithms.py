@@ -201,3 +201,34 @@ def test_pieces(spark):
     assert all(len(r.content) <= 2000 for r in rows) and all(r.version is None for r in rows if r.id == 1)
     assert pieces.pieces(df.limit(0), ["id"], "t").count() == 0
     assert df.select(F.max("id")).first()[0] == 4
+
+
+def test_elite_terms_rank_above_even_ones(spark):
+    """Topical terms gather in few sections, even ones are spread: alike by document frequency, told apart by the mixture."""
+    import datetime as d
+
+    rng = np.random.default_rng(11)
+    letters = "abcdefghijklmnop"
+    name = lambda kind, k: kind + letters[k // 16] + letters[k % 16]
+    texts: list[list[str]] = [[] for _ in range(400)]
+    for k in range(40):
+        for i in rng.choice(400, 80, replace=False)[:80]:
+            texts[i] += [name("even", k)] * int(1 + rng.poisson(0.5))
+        held = rng.choice(400, 80, replace=False)
+        for place, i in enumerate(held):
+            texts[i] += [name("topic", k)] * int(1 + (rng.poisson(6) if place < 12 else 0))
+    t = d.datetime(2020, 1, 1)
+    schema = "id long, version_id long, section_index int, sub_index int, content string, updated_at timestamp"
+    df = spark.createDataFrame([(i, i, 0, 0, " ".join(x), t) for i, x in enumerate(texts)], schema)
+    rows = distinctive.scored(df).collect()
+    best: dict[str, float] = {}
+    for r in rows:
+        best[r.term] = max(best.get(r.term, 0.0), r.elite if r.tf >= 4 else 0.0)
+    topic, even = [v for w, v in best.items() if w[:5] == "topic"], [v for w, v in best.items() if w[:4] == "even"]
+    assert {r.df for r in rows} == {80}  # the inverse document frequency can't part them
+    assert len(topic) == len(even) == 40 and min(topic) > 0.95
+    # at the same count, four, a topical term is surer than an even one
+    four = {k: [r.elite for r in rows if r.tf == 4 and r.term.startswith(k)] for k in ("topic", "even")}
+    assert np.mean(four["topic"]) > 0.9 and (not four["even"] or np.mean(four["topic"]) >= np.mean(four["even"]) - 0.1)
+    # one occurrence of a topical term is no sign of its topic
+    assert max(r.elite for r in rows if r.tf == 1 and r.term.startswith("topic")) < 0.1

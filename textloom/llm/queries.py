@@ -125,6 +125,7 @@ def queries() -> dict[str, Query]:
     )}
 
 
+_USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 #: A blank text's characters, for SQL.
 _BLANK = "".join(f"\\x{{{ord(c):X}}}" for c in SPACE)
 
@@ -132,6 +133,39 @@ _BLANK = "".join(f"\\x{{{ord(c):X}}}" for c in SPACE)
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express on whole tables in reasonable time."""
     return {
+        "p1_found": """
+            WITH t AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM raw_bill_text WHERE id IS NOT NULL AND content IS NOT NULL),
+            g AS (SELECT DISTINCT id, unnest(list_transform(range(1, CAST(len(w) AS BIGINT) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS gram FROM t WHERE len(w) >= 3),
+            n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+            s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
+            SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.5 * (x.n + y.n - shared)
+        """,
+        "p2_found": r"""
+            WITH RECURSIVE said AS (
+                SELECT query_id, version_id AS v FROM retrieval_queries WHERE query_id IS NOT NULL
+                UNION SELECT query_id, unnest(list_transform(relevant, lambda x: x.version_id)) FROM retrieval_queries WHERE query_id IS NOT NULL),
+            asked AS (SELECT DISTINCT query_id, TRY_CAST(nullif(regexp_extract(replace(v, ',', ''), '^\s*(?i:version\s*[:#]?|v\.?|#|no\.?)?\s*\+?0*([0-9]{1,18})(?:\.0*)?\s*$', 1), '') AS BIGINT) AS version FROM said),
+            bills AS (SELECT DISTINCT version_id AS version, bill_id AS bill FROM raw_bill_text WHERE version_id IS NOT NULL AND bill_id IS NOT NULL),
+            known AS (SELECT DISTINCT query_id, bill FROM asked JOIN bills USING (version)),
+            near AS (SELECT DISTINCT a.bill AS u, b.bill AS v FROM bills a JOIN bills b USING (version) UNION SELECT a.bill, b.bill FROM known a JOIN known b USING (query_id)),
+            reach AS (SELECT u, v FROM near UNION SELECT r.u, n.v FROM reach r JOIN near n ON n.u = r.v)
+            SELECT query_id, min(reach.v) AS group_bill_id FROM known JOIN reach ON reach.u = known.bill GROUP BY query_id
+        """,
+        "p3_found": f"""
+            WITH RECURSIVE x AS (SELECT section_id AS id, min(CAST(embedding AS DOUBLE[])) AS v FROM section_input WHERE {_USABLE} GROUP BY section_id),
+            n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS norm FROM x),
+            near AS (SELECT a.id AS u, b.id AS v FROM n a JOIN n b ON list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.8 - 1e-7),
+            reach AS (SELECT u, v FROM near UNION SELECT r.u, n.v FROM reach r JOIN near n ON n.u = r.v)
+            SELECT u AS section_id, min(v) AS cluster_id FROM reach GROUP BY u HAVING count(DISTINCT v) >= 3
+        """,
+        "p5_found": f"""
+            WITH x AS (SELECT 'sections' AS tab, id, min(CAST(embedding AS DOUBLE[])) AS v FROM bill_text_sections WHERE {_USABLE} GROUP BY id
+                UNION ALL SELECT 'raw', id, min(CAST(embedding AS DOUBLE[])) FROM raw_bill_text WHERE {_USABLE} GROUP BY id),
+            n AS (SELECT tab, id, v, sqrt(list_dot_product(v, v)) AS norm FROM x),
+            s AS (SELECT a.tab, a.id, b.id AS other, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS sim FROM n a JOIN n b ON a.tab = b.tab AND a.id <> b.id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY tab, id ORDER BY sim DESC, other) AS place FROM s WHERE sim >= 0.9)
+            SELECT DISTINCT tab, least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE place <= 5
+        """,
         "p6_found": """
             WITH once AS (
                 SELECT version_id, section_index, sub_index, arg_max(content, updated_at) AS content
