@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,13 +31,31 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _held(spark).add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _held(spark: SparkSession) -> set[str]:
+    """Tables of ``written`` that are still there; the last of them go when the program ends."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_textloom_tables"):
+        sc._textloom_tables = set()
+        atexit.register(lambda: sc._jsc and released(spark))
+    return sc._textloom_tables
+
+
+def released(spark: SparkSession) -> int:
+    """Remove all tables of ``written``; for when no result of this session will be read again. How many there were."""
+    paths = sorted(_held(spark))
+    dropped(spark, *paths)
+    return len(paths)
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Remove tables of ``written`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     for path in paths:
+        _held(spark).discard(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
