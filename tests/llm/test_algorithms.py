@@ -156,6 +156,11 @@ def test_nearest_vectors(spark):
     # parts cut into blocks give the same rows
     cut = {(r.id_a, r.id_b) for r in knn.similar_pairs(tables, knn.Index(floor=0.9, per_part=60, most=16)).collect()}
     assert cut == got
+    # parts divided again by models of their own
+    deep = knn.Index(k=5, per_part=12, max_parts=4, max_subs=6, sub_sample=200)
+    two = {(r.id_a, r.id_b) for r in knn.similar_pairs(tables, knn.Index(floor=0.9, per_part=12, max_parts=4, max_subs=6, sub_sample=200)).collect()}
+    assert two <= {(min(a, b), max(a, b)) for a in [0, 1000, *range(2000, 2009)] for b in [0, 1000, *range(2000, 2009)]} | want and len(two & want) >= 0.9 * len(want)
+    assert knn.nearest(tables, deep, tables.where("id % 50 = 0").select("tab", "id")).count() > 0
     for k in (8, 10**6):
         many = knn.nearest(tables, knn.Index(per_part=10**6, most=k), tables.where("id % 50 = 0").select("tab", "id")).collect()
         assert k == 8 or {(r.id, r.neighbour, r.rank) for r in many} == {(r.id, r.neighbour, r.rank) for r in last}

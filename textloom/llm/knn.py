@@ -10,9 +10,11 @@ A pair is met if either end visits the other's home, and counts for both ends. C
 indexed once. Ranking is by similarity, then id. The sample is the only part of the data that is not
 looked at whole; everything is indexed and answered.
 
-Scale: each vector is shuffled ``probes`` times; the parts follow the row count (``per_part``) up to
-``max_parts``. A part with more than ``most`` residents or visitors - past ``max_parts``, or where a third of all
-rows are alike - is cut into blocks of residents and blocks of visitors, and each pair of blocks is a unit of
+Scale: each vector is shuffled ``probes`` times; the parts follow the row count (``per_part``). Above
+``max_parts`` each part is divided again by a classifier of its own, fitted where the part's sample lies - at most
+``sub_sample`` rows - on that sample's neighbour graph; a query goes to the sub-parts of the highest joint
+probability. What is broadcast is bounded by ``max_parts`` x ``max_subs`` x 65 weights (8.5 MB). A part with more than
+``most`` residents or visitors - past both bounds, or where a third of all rows are alike - is cut into blocks of residents and blocks of visitors, and each pair of blocks is a unit of
 work of its own, so that no task holds more than two blocks. Counts of the parts are all the driver gets.
 """
 
@@ -32,7 +34,7 @@ from .wordhash import mix
 
 @dataclass(frozen=True)
 class Index:
-    """Neighbours, parts visited, rows wanted per part, bound of parts, bound of the sample, least similarity to report, rows of a block."""
+    """Neighbours, parts visited, rows wanted per part, bound of parts, bound of the sample, least similarity to report, rows of a block, bounds of a part's sub-parts and of their sample."""
 
     k: int = 5
     probes: int = 4
@@ -41,6 +43,8 @@ class Index:
     sample: int = 8192
     floor: float | None = None
     most: int = 16_384
+    max_subs: int = 64
+    sub_sample: int = 4096
 
 
 def fit(sample: np.ndarray, parts: int, rounds: int = 8, epochs: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +121,64 @@ def _balanced(score: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
+def _best(z: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` highest columns of each row, best first."""
+    top = np.argpartition(-z, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _logs(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _routed(x: np.ndarray, w: np.ndarray, b: np.ndarray, lower: dict[int, tuple[np.ndarray, np.ndarray]], subs: int, probes: int) -> np.ndarray:
+    """The most probable parts of each row, best first; with ``lower`` models, sub-parts of the best parts by joint probability."""
+    z = x @ w.T + b
+    m = min(probes, len(b))
+    top = _best(z, m)
+    if not lower:
+        return top
+    first = np.take_along_axis(_logs(z), top, axis=1)
+    joint = np.full((len(x), m, subs), -np.inf)
+    for part in np.unique(top).tolist():
+        row, at = np.nonzero(top == part)
+        if part in lower:
+            wl, bl = lower[part]
+            joint[row, at, : len(bl)] = first[row, at, None] + _logs(x[row] @ wl.T + bl)
+        else:
+            joint[row, at, 0] = first[row, at]
+    best = _best(joint.reshape(len(x), -1), min(probes, m * subs))
+    # a part without so many sub-parts leaves places that lead nowhere: the best place stands for them
+    found = np.take_along_axis(joint.reshape(len(x), -1), best, axis=1)
+    best = np.where(np.isfinite(found), best, best[:, :1])
+    return np.take_along_axis(top, best // subs, axis=1) * subs + best % subs
+
+
+def _divided(nodes: DataFrame, upper: tuple[np.ndarray, np.ndarray], subs: int, rows: int, p: Index) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The classifier of each part into ``subs`` sub-parts, fitted by a task on at most ``sub_sample`` rows of the part."""
+    spark = nodes.sparkSession
+    shared = spark.sparkContext.broadcast(upper)
+    share = min(1.0, 4.0 * p.sub_sample * len(upper[1]) / max(1, rows))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                to = _routed(matrix(part["vec"]), *shared.value, {}, 1, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part["luck"], part["vec"]], ["part", "luck", "vec"])
+
+    drawn = nodes.withColumn("luck", F.xxhash64("id", "tab")).where((F.pmod("luck", F.lit(1 << 20)) / (1 << 20)) < share).select("luck", "vec")
+    few = drawn.mapInArrow(home, "part int, luck long, vec binary").withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("luck", "vec"))).where(F.col("place") <= p.sub_sample)
+
+    def learn(key: tuple, table: pa.Table) -> pa.Table:
+        w, b = fit(matrix(table["vec"]), subs)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([b.astype(np.float32).tobytes()], pa.binary())})
+
+    found = few.select("part", "vec").groupBy("part").applyInArrow(learn, "part int, w binary, b binary").collect()  # one bounded row a part
+    return {r.part: (np.frombuffer(bytes(r.w), np.float32).reshape(-1, upper[0].shape[1]), np.frombuffer(bytes(r.b), np.float32)) for r in found}
+
+
 def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank): up to k other ids for each id of ``vectors`` (tab, id, vec), within its tab.
 
@@ -132,7 +194,12 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
     share = min(1.0, 1.5 * p.sample / max(1, rows))
     sample = nodes.where((F.pmod(F.xxhash64("tab", "id"), F.lit(1 << 20)) / (1 << 20)) < share).select("vec").limit(p.sample).toArrow()
     parts = int(min(p.max_parts, max(1, rows // p.per_part)))
-    model = spark.sparkContext.broadcast(fit(matrix(sample["vec"]), parts))
+    upper = fit(matrix(sample["vec"]), parts)
+    subs = int(min(p.max_subs, -(-rows // (p.max_parts * p.per_part))))
+    lower = _divided(nodes, upper, subs, rows, p) if subs > 1 and len(upper[1]) > 1 else {}
+    subs = subs if lower else 1
+    model = spark.sparkContext.broadcast((*upper, lower))
+    parts *= subs
     probes, k, floor = p.probes, p.k, p.floor
     asks = nodes.select("tab", "id", "vec", F.lit(True).alias("asks")) if queries is None else None
     if asks is None:
@@ -142,12 +209,8 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
 
     def routed_to(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, part, rank) of the parts a row lives in (rank 0) or visits."""
-        w, b = model.value
-        m = min(probes, len(b))
-        z = matrix(part["vec"]) @ w.T + b
-        top = np.argpartition(-z, m - 1, axis=1)[:, :m]
-        z = np.take_along_axis(z, top, axis=1)
-        top = np.take_along_axis(top, np.argsort(-z, axis=1, kind="stable"), axis=1)
+        top = _routed(matrix(part["vec"]), *model.value, subs, probes)
+        m = top.shape[1]
         row, rank = np.nonzero(np.asarray(part["asks"].to_numpy(zero_copy_only=False)).astype(bool)[:, None] | (np.arange(m) == 0))
         return row, top[row, rank], rank
 
@@ -165,7 +228,8 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
                     n[0] += np.bincount(to[own & (rank == 0)], minlength=parts)
                     n[1] += np.bincount(to[own & asks_], minlength=parts)
         for tab, n in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([tab] * parts), pa.array(np.arange(parts, dtype=np.int32)), pa.array(n[0]), pa.array(n[1])], ["tab", "part", "homes", "asks"])
+            at = np.flatnonzero(n.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([tab] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["tab", "part", "homes", "asks"])
 
     cuts: dict[tuple[str, int], tuple[int, int]] = {}
     counted = asks.mapInArrow(sizes, "tab string, part int, homes long, asks long").groupBy("tab", "part").agg(F.sum("homes"), F.sum("asks"))
@@ -177,6 +241,9 @@ def nearest(vectors: DataFrame, p: Index, queries: DataFrame | None = None) -> D
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 row, to, rank = routed_to(part)
+                # one visit to each part
+                new = (rank == 0) | (to != to[np.searchsorted(row, row)])
+                row, to, rank = row[new], to[new], rank[new]
                 ids = mix(np.asarray(part["id"]).astype(np.int64).view(np.uint64))
                 tabs, asks_ = part["tab"].to_pylist(), np.asarray(part["asks"].to_numpy(zero_copy_only=False)).astype(bool)
                 grid = np.array([cuts.get((tabs[r], t), (1, 1)) for r, t in zip(row.tolist(), to.tolist())], np.int64).reshape(-1, 2)
