@@ -128,7 +128,10 @@ def search_units(queries: DataFrame, members: DataFrame, pooling: str, dim: int,
 
 def expand_units(ranked: DataFrame, queries: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., q, item, rank): items of the ranked units, each where it comes first, within a unit by its own score."""
-    rows = ranked.select(*keys, "q", "unit", F.col("rank").alias("unit_rank")).join(members, ["kind", "unit"] if "kind" in keys else ["unit"]).join(queries.select("q", "qv"), "q")
-    first = rows.groupBy(*keys, "q", "item").agg(F.min("unit_rank").alias("unit_rank"), F.max(V.cosine(F.col("qv"), F.col("v"))).alias("score"))
+    rows = ranked.select(*keys, "q", "unit", F.col("rank").alias("unit_rank")).join(members.drop("v"), ["kind", "unit"] if "kind" in keys else ["unit"])
+    first = rows.groupBy(*keys, "q", "item").agg(F.min("unit_rank").alias("unit_rank"))
+    # several kinds and poolings name the same items: each is compared with a query once
+    met = first.select("q", "item").distinct().join(members.groupBy("item").agg(F.first("v").alias("v")), "item").join(queries.select("q", "qv"), "q")
+    first = first.join(met.select("q", "item", V.cosine(F.col("qv"), F.col("v")).alias("score")), ["q", "item"])
     w = Window.partitionBy(*keys, "q").orderBy("unit_rank", F.desc(F.round("score", 9)), "item")
     return first.withColumn("rank", F.row_number().over(w)).select(*keys, "q", "item", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..operators import retrieval as R
+from ..workspace import written
 from . import base as B
 from .registry import Table, query
 
@@ -150,15 +151,14 @@ def _collection(t: Table) -> DataFrame:
     return named(groups, "group", F.col("id")).unionByName(named(x, "document", F.col("version_id"))).unionByName(named(x, "section", F.col("item"))).unionByName(named(subjects, "subject", F.col("label")))
 
 
-def _searched(t: Table) -> DataFrame:
-    q, members = _inputs(t)[0], _collection(t)
+def _searched(q: DataFrame, members: DataFrame) -> DataFrame:
     return R.search_units(q, members, "mean", B.DIM).withColumn("pooling", F.lit("mean")).unionByName(R.search_units(q, members, "max", B.DIM).withColumn("pooling", F.lit("max")))
 
 
 @query(f"{_COLLECTION} SELECT pooling, kind, q, unit, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ul")
 def search_collection(t: Table) -> DataFrame:
     """The ten best units of each kind and pooling for each query, over all documents."""
-    return _searched(t).select("pooling", "kind", "q", "unit", "rank", B.r6(F.col("score"), "score"))
+    return _searched(_inputs(t)[0], written(_collection(t), "units")[0]).select("pooling", "kind", "q", "unit", "rank", B.r6(F.col("score"), "score"))
 
 
 @query(f"{_COLLECTION} SELECT q, CAST(unit AS BIGINT) AS neighbour, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ul WHERE kind = 'section' AND pooling = 'max' AND rank <= 5")
@@ -176,8 +176,8 @@ def knn_collection(t: Table) -> DataFrame:
     FROM sco GROUP BY kind, pooling""")
 def retrieval_methods(t: Table) -> DataFrame:
     """Scores of the four kinds of units and two poolings over the whole collection, for all queries and those with several relevant sections."""
-    q, members = _inputs(t)[0], _collection(t)
-    ranked = R.expand_units(_searched(t), q, members, ["kind", "pooling"])
+    q, members = _inputs(t)[0], written(_collection(t), "units")[0]
+    ranked = R.expand_units(written(_searched(q, members), "ranked")[0], q, members, ["kind", "pooling"])
     rel = _inputs(t)[2]
     # a query is one of each method, so that one pass scores them all
     name = F.concat_ws("/", "kind", "pooling")
@@ -194,6 +194,6 @@ def retrieval_methods(t: Table) -> DataFrame:
 @query(f"{_COLLECTION} SELECT q, item, round(sum(1.0 / (60 + rank)), 6) AS score FROM ue WHERE pooling = 'max' GROUP BY q, item")
 def fuse_methods(t: Table) -> DataFrame:
     """Reciprocal rank fusion of the four kinds of units."""
-    q, members = _inputs(t)[0], _collection(t)
+    q, members = _inputs(t)[0], written(_collection(t), "units")[0]
     ranked = R.expand_units(R.search_units(q, members, "max", B.DIM), q, members, ["kind"])
     return ranked.groupBy("q", "item").agg(B.r6(F.sum(1 / (60 + F.col("rank"))), "score"))
