@@ -200,3 +200,14 @@ def test_searches_of_features(spark):
     assert [f for f, _ in steps[:2]] == ["b", "a"] and steps[1][1] < 0.1
     fitted = Tr.floored_log_fit(spark.createDataFrame([(1.0, 0.0), (np.e, 1.0), (0.0, 0.0)], "x double, y double"), "x", "y", 0.3).collect()
     assert sorted(round(r.fitted, 6) for r in fitted) == [0.3, 0.3, 1.0]
+
+
+def test_directory(spark, tmp_path):
+    from textloom.sources import files
+
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "a.txt").write_text("ferry " * 500)
+    (tmp_path / "d" / "e" / "b.txt").write_text("")
+    (tmp_path / "d" / "e" / "c.bin").write_text("x")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.directory(spark, f"file://{tmp_path}/d", "*.txt").collect()}
+    assert set(got) == {"a.txt", "b.txt"} and got["a.txt"].size == 3000 and got["a.txt"].ratio < 0.1 and got["b.txt"].ratio is None

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import StringType
 
 
@@ -140,4 +140,8 @@ def first_object(text: Column) -> Column:
                     return text[start: i + 1]
         return None
 
-    return F.pandas_udf(lambda texts: texts.map(cut), StringType(), PandasUDFType.SCALAR)(text)
+    def each(texts):  # noqa: ANN001, ANN202
+        return texts.map(cut)
+
+    each.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(each, StringType())(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,13 @@ def _held(spark: SparkSession) -> set[str]:
     sc = spark.sparkContext
     if not hasattr(sc, "_textloom_tables"):
         sc._textloom_tables = set()
-        atexit.register(lambda: sc._jsc and released(spark))
+
+        def at_end() -> None:
+            with suppress(Exception):  # the JVM may be gone by then
+                if sc._jsc:
+                    released(spark)
+
+        atexit.register(at_end)
     return sc._textloom_tables
 
 
