@@ -82,7 +82,7 @@ def pdf_texts(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -
 
 
 def directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, compressed, ratio) of every file under a folder, at any depth; ratio is compressed by plain size, null if empty."""
+    """(path, size, compressed, ratio) of every file under a folder that holds anything, at any depth; ratio is compressed by plain size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,7 +90,7 @@ def directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
             yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "compressed": small})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", "content").mapInPandas(run, "path string, size long, compressed long").withColumn("ratio", F.when(F.col("size") > 0, F.col("compressed") / F.col("size")))
+    return files.select("path", "length", "content").mapInPandas(run, "path string, size long, compressed long").withColumn("ratio", F.col("compressed") / F.col("size"))
 
 
 def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 16, **options: str) -> DataFrame:
