@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import lexical as L
+from ..workspace import written
 from . import base as B
 from .registry import Table, query
 
@@ -102,8 +103,6 @@ def tfidf_cosine(t: Table) -> DataFrame:
     SELECT q, section_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / ml))), 6) AS score
     FROM q JOIN tf USING (term) JOIN d USING (term) JOIN ln USING (section_id), tot GROUP BY q, section_id""")
 def bm25(t: Table) -> DataFrame:
-    tf = B.frequencies(t)
-    length = tf.groupBy("section_id").agg(F.sum("tf").alias("length"))
-    total = length.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean_length"))
     q = t("retrieval_queries").select(F.col("query_id").alias("q"), F.explode(T.unigrams(F.coalesce("concept_label", F.lit("")))).alias("term")).distinct()
-    return L.bm25(tf.join(length, "section_id"), ["section_id"], q, total).select("q", "section_id", B.r6(F.col("score"), "score"))
+    counts, _ = written(L.term_counts(B.sections(t).select("section_id", "text"), ["section_id"], "text", q.select("term").distinct()), "counts")
+    return L.bm25(counts, ["section_id"], q, places=6)
